@@ -1,0 +1,35 @@
+"""Connected components of a graph given as links, by alternating star contractions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """One row (node, root) for each node of links; root is the least node of its component.
+
+    Each round hangs every neighbour of a node that is larger than it under the least node of its neighbourhood, then
+    does the same with the smaller ones, until nothing changes. Links stay in Spark and are cut from
+    their lineage each round; the number of rounds grows with the logarithm of the longest path. Self-links,
+    repeated links and null ends are ignored.
+    """
+    pairs = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    pairs = cut(pairs)
+    before = None
+    while True:
+        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Every u of `large` is now larger than its v: the small star.
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(lowest, "u")
+        pairs = cut(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).distinct())
+        after = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if after == before:
+            break
+        before = after
+    roots = pairs.select(F.col("v").alias("node")).distinct().join(pairs.select(F.col("u").alias("node")), "node", "left_anti")
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
