@@ -28,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import per_batch
 
@@ -270,7 +271,7 @@ def encode(df: DataFrame, definition: bytes, text_col: str = "text", out_col: st
         new = {out_col: ids} | ({with_count: ids.value_lengths().cast(pa.int64())} if with_count else {})
         return pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
-    schema = kept.schema.add(out_col, "array<int>")
+    schema = kept.schema.add(out_col, ArrayType(IntegerType()))
     if with_count:
         schema = schema.add(with_count, "long")
     return per_batch(kept, work, schema)

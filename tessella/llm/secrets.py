@@ -75,7 +75,7 @@ def spans(text: Column, rule: Rule) -> Column:
     return F.when(hinted, found).otherwise(F.array().cast(SPAN))
 
 
-def scan(history: DataFrame, ledger: DataFrame | None = None, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+def scan(history: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """(findings, ledger): history's columns but for the text, with blob (its address) and spans; and the ledger to pass next time.
 
     history has a row for each version of each path; a null text counts as empty. ledger has (blob, kind, version, spans). Repeated
@@ -127,9 +127,9 @@ def masked(text: Column, found: Column, mask: str = "[secret]") -> Column:
     return F.when(F.size(found) > 0, F.aggregate(found, start, step, end)).otherwise(text)
 
 
-def redacted(df: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, length_col: str | None = None) -> DataFrame:
+def redacted(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, length_col: str | None = None) -> DataFrame:
     """df with the secrets in its texts masked; all rows and columns stay. Null texts stay null. length_col, if given and there, is set to the new length where a text was changed."""
-    findings, _ = scan(df, None, path_col, text_col, rules)
+    findings, _ = scan(df, None, text_col, rules)
     out = findings.withColumn("_found", F.col("spans")).withColumn(text_col, masked(F.col(text_col), F.col("_found")))
     if length_col in df.columns:
         out = out.withColumn(length_col, F.when(F.size("_found") > 0, F.length(text_col).cast(df.schema[length_col].dataType)).otherwise(F.col(length_col)))
