@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import per_batch
 
@@ -271,9 +271,9 @@ def encode(df: DataFrame, definition: bytes, text_col: str = "text", out_col: st
         new = {out_col: ids} | ({with_count: ids.value_lengths().cast(pa.int64())} if with_count else {})
         return pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
-    schema = kept.schema.add(out_col, ArrayType(IntegerType()))
+    schema = StructType([*kept.schema.fields, StructField(out_col, ArrayType(IntegerType()))])
     if with_count:
-        schema = schema.add(with_count, "long")
+        schema = StructType([*schema.fields, StructField(with_count, LongType())])
     return per_batch(kept, work, schema)
 
 
@@ -286,7 +286,7 @@ def decode(df: DataFrame, definition: bytes, ids_col: str = "ids", out_col: str
         texts = [None if x is None else v.decode(x) for x in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
 
-    schema = kept.schema.add(out_col, "string")
+    schema = StructType([*kept.schema.fields, StructField(out_col, StringType())])
     return per_batch(kept, work, schema)
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space that separates words: space and U+0009 to U+000D, as a regular expression class and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -36,7 +37,7 @@ def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType) -> DataFrame:
     """Apply work to each Arrow batch of df. A batch holds at most what spark.sql.execution.arrow allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut
 from .components import components
@@ -58,7 +59,7 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fing
             kept = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), prints], names=[*(batch.schema.names[i] for i in kept), out_col])
 
-    schema = df.drop(text_col).schema.add(out_col, "long")
+    schema = StructType([*df.drop(text_col).schema.fields, StructField(out_col, LongType())])
     return df.mapInArrow(run, schema)
 
 
