@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, rules, secrets, simhash
-from .common import table
+from . import ann, bpe, language, mixing, quality, rules, secrets, simhash
+from .common import held_out, table
 from .oracles import RULES_SQL, SECRETS_SQL, mixing_sql
 
 #: The mix that the registered query and the pipeline aim at.
@@ -20,6 +20,20 @@ def byte_bpe() -> bytes:
         return f.read()
 
 
+def op1_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Rows of one id with contrary labels say nothing.
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("_most")).where("label = _most")
+    model = quality.fit(docs.where(~held_out("doc_id", 4, 2)).join(labels, "doc_id"))
+    out = quality.scored(docs, model)
+    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
     m = F.col("rules.metrics")
@@ -47,5 +61,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), byte_bpe())
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_mixing, op5_secret_scan, op6_simhash_dedup, op9_bpe)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.select("doc_id", "text", "lang").where(~held_out("doc_id", 3, 1)))
+    return language.predicted(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_vector_graph, op2_quality_classifier, op3_quality_rules, op4_mixing, op5_secret_scan, op6_simhash_dedup, op9_bpe, op10_language_id)}
 ORACLES = {"op3_quality_rules": RULES_SQL, "op4_mixing": mixing_sql(MIX), "op5_secret_scan": SECRETS_SQL}
