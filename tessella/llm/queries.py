@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, language, mixing, quality, rules, secrets, simhash
+from . import ann, bpe, chat, html, language, mixing, quality, rules, secrets, simhash
 from .common import held_out, table
 from .oracles import RULES_SQL, SECRETS_SQL, mixing_sql
 
@@ -57,6 +57,26 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extracted(table(spark, sf_dir, "pages"), "html", "text", "page_id", "url")
+    return out.select("page_id", "url", "text", "n_chars")
+
+
+def transcripts_text() -> Column:
+    """A turn of `conversations` as raw transcripts show it: the role is told by a marker in one of several styles, and left out of every fifth turn."""
+    style, role = F.pmod(F.xxhash64("conv_id"), F.lit(4)), F.col("role")
+    human = F.when(role == "user", "Human").when(role == "assistant", "AI").otherwise(F.initcap("role"))
+    marked = F.when(style == 0, F.concat(F.initcap("role"), F.lit(": "), "text")).when(style == 1, F.concat(F.lit("### "), human, F.lit(":\n"), "text")).when(style == 2, F.concat(F.lit("["), role, F.lit("]\n"), "text")).otherwise(F.concat(F.lit("<|"), role, F.lit("|>"), "text"))
+    bare = role.isNull() | (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == 0)
+    return F.when(bare, F.col("text")).otherwise(marked)
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    model = chat.fit(talks.where(~held_out("conv_id", 4, 2)).select("conv_id", "turn", "role", transcripts_text().alias("text")), "role")
+    return chat.turns(talks.select("conv_id", "turn", transcripts_text().alias("text")), model)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -67,5 +87,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_graph, op2_quality_classifier, op3_quality_rules, op4_mixing, op5_secret_scan, op6_simhash_dedup, op9_bpe, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_vector_graph, op2_quality_classifier, op3_quality_rules, op4_mixing, op5_secret_scan, op6_simhash_dedup, op7_main_text, op8_chat_format, op9_bpe, op10_language_id)}
 ORACLES = {"op3_quality_rules": RULES_SQL, "op4_mixing": mixing_sql(MIX), "op5_secret_scan": SECRETS_SQL}
