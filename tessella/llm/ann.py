@@ -231,8 +231,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, settings: Settings =
     blocks = asked.groupBy("kind").agg(F.ceil(F.count("*") / settings.block_rows).alias("blocks"))
     asked = asked.join(F.broadcast(blocks), "kind").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")))
     asked = asked.groupBy("kind", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("q"))
-    asked = cut(asked)
-    pairs = graphs.join(asked, "kind")
+    # Each block goes to each shard, by the shard's number, so that searches are dealt over as many tasks as there are shards.
+    asked = asked.join(F.broadcast(shards), "kind").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1))).select("kind", "shard", "q")
+    pairs = graphs.join(asked, ["kind", "shard"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = None, None
