@@ -51,3 +51,19 @@ def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | p
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once for the row however often body uses it."""
     return F.transform(F.array(value), body)[0]
+
+
+def bounded_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, values: list, part: int, text_col: str) -> DataFrame:
+    """At most part x len(values) rows (h, text, label) of docs to learn from: for each label value the ids with the least hash, as many as `part`.
+
+    labels has id_col and label_col; it may be docs itself. Ids are chosen before texts are looked at, so no text is shuffled
+    but those of the rows that are returned, and what is broadcast is as bounded as they are. Rows without id are passed over.
+    """
+    slim = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"), F.xxhash64(id_col).alias("h"))
+    picked = None
+    for v in values:
+        some = slim.where(F.col("label") == v).distinct().orderBy("h", "_id").limit(part)
+        picked = some if picked is None else picked.union(some)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "_id")
+    # An id may stand in many rows.
+    return rows.select("h", "text", "label").orderBy("h", "label", "text").limit(part * len(values))

@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_rows
 from .ngrams import letter_classes, trigram_counts
 
 #: Families of closely related languages; a language that is not listed is a family of its own.
@@ -112,15 +113,11 @@ def _chance(margin: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from rows with a language and a text with a letter. Of each language the rows with the least hash of their id are taken, up to its part of fit_rows."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    known = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    known = sorted(r[0] for r in rows.select(lang_col).distinct().collect())
     if not known:
         return Model([], {}, np.zeros((0, BUCKETS + 1), np.float32), {}, {})
-    part = max(settings.fit_rows // len(known), 1)
-    picked = None
-    for lang in known:
-        some = rows.where(F.col("lang") == lang).orderBy("h", "text").limit(part)
-        picked = some if picked is None else picked.union(some)
+    picked = bounded_rows(rows, rows, id_col, lang_col, known, max(settings.fit_rows // len(known), 1), text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

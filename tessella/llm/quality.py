@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_rows
 from .ngrams import shape_classes, trigram_counts
 
 SHAPES = 16
@@ -84,18 +85,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.where(n > 0, n, 1)).astype(np.float32)
 
 
-def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> Model:
-    """Learn from labelled rows (label 0 or 1; others and nulls are passed over). Of each label, the rows with the least hash of their id are taken, up to half of fit_rows."""
-    half = settings.fit_rows // 2
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"))
-    picked = [rows.where(F.col("label") == y).orderBy("h", "text").limit(half) for y in (0, 1)]
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> Model:
+    """Learn from the texts of docs and the labels (0 or 1; others and nulls are passed over), joined by id. Of each label, the ids with the least hash are taken, up to half of fit_rows."""
+    rows = bounded_rows(docs, labels.withColumn(label_col, F.col(label_col).cast("int")), id_col, label_col, [0, 1], max(settings.fit_rows // 2, 1), text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [terms(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c.tobytes() for c in counts], pa.binary())], names=["h", "label", "counts"])
 
-    got = picked[0].union(picked[1]).repartition(8, "h").mapInArrow(work, "h bigint, label int, counts binary").toPandas().sort_values(["label", "h"], kind="stable")
+    got = rows.repartition(8, "h").mapInArrow(work, "h bigint, label int, counts binary").toPandas().sort_values(["label", "h"], kind="stable")
     if not len(got):
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((1, 1), np.float32), np.zeros(1), settings)
     counts = np.stack([np.frombuffer(c, np.float32) for c in got["counts"]])

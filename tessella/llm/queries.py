@@ -29,7 +29,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # Rows of one id with contrary labels say nothing.
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("_most")).where("label = _most")
-    model = quality.fit(docs.where(~held_out("doc_id", 4, 2)).join(labels, "doc_id"))
+    model = quality.fit(docs, labels.where(~held_out("doc_id", 4, 2)))
     out = quality.scored(docs, model)
     return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
