@@ -363,7 +363,7 @@ def laplacian_rayleigh(spark, sf_dir):
 def lambda2_estimate(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     edges = graph.cut(graph.undirected(_knn(spark, sf_dir)))
-    return graph.lambda2(e, edges, "vec_id", 16).select(r6(F.col("lambda2")).alias("lambda2"))
+    return graph.lambda2(e, edges, "vec_id", 8).select(r6(F.col("lambda2")).alias("lambda2"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber::BIGINT AS l_linenumber, format('{:.3f}', CASE WHEN l_discount >= 0 THEN ceil(l_discount * 1000) ELSE floor(l_discount * 1000) END::BIGINT / 1000.0::DOUBLE) || '|' || format('{:.3f}', ceil(l_extendedprice * 1000)::BIGINT / 1000.0::DOUBLE) AS row FROM lineitem")
