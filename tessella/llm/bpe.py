@@ -35,7 +35,7 @@ from .common import per_batch
 #: Fixed value: the word pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a worker remembers; beyond, it forgets them all and starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -73,6 +73,7 @@ class Vocabulary:
         for content, i in self.special.items():
             self.bytes[i] = content.encode()
         self.decimal = [str(i) for i in range(size)]
+        self.numbers = [*range(size)]  # one object for each id, which the cache shares
         self.single = [0] * 256
         for i in model["vocab"].values():
             if len(self.bytes[i]) == 1:
@@ -106,7 +107,7 @@ class Vocabulary:
         for i in made[np.argsort(self.born[made])].tolist():
             if int(self.left[i]) in bad or int(self.right[i]) in bad:
                 bad.add(i)
-        return {self.bytes[i]: i for i in [*self.single, *made.tolist()] if i not in bad}
+        return {self.bytes[i]: self.numbers[i] for i in [*self.single, *made.tolist()] if i not in bad}
 
     def compatible(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
         """For each pair of tokens, whether no merge crosses their border before rank `until` (default: ever)."""
@@ -214,7 +215,7 @@ class Vocabulary:
         fine = np.array([self.verdicts[p] for p in pairs.tolist()], bool)
         failed = np.unique(owner[inner[~fine[where]]]).tolist() if len(inner) else []
         for i, ids in zip(failed, self.merged([raw[i] for i in failed])):
-            guess[i] = ids
+            guess[i] = [*map(self.numbers.__getitem__, ids)]
         self.cache.update(zip(words, guess))
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
@@ -242,7 +243,7 @@ def _vocabulary(definition: bytes) -> Vocabulary:
 
 
 #: Characters that are encoded together at most, so that memory stays bounded whatever the batch holds.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 
 
 def _groups(texts: list[str | None]):
@@ -267,7 +268,7 @@ def encode(df: DataFrame, definition: bytes, text_col: str = "text", out_col: st
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = _vocabulary(definition)
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-        ids = pa.array([x for g in _groups(texts) for x in v.encode_batch(g)], pa.list_(pa.int32()))
+        ids = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(pa.array(v.encode_batch(g), pa.list_(pa.int32())) for g in _groups(texts))])
         new = {out_col: ids} | ({with_count: ids.value_lengths().cast(pa.int64())} if with_count else {})
         return pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
