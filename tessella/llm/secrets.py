@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind
+from .common import bind, cut
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,9 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, text_col: str = "t
             return found
         return F.when(F.array_contains(F.coalesce("_seen", F.array().cast("array<string>")), f"{r.kind}:{r.version}"), F.lit(None)).otherwise(found)
 
-    fresh = blobs.select(F.col("_blob").alias("blob"), *(unseen(r).alias(r.kind) for r in rules))
+    # What a scan finds is written down once, for the findings and for the ledger. The join back then meets files instead of an
+    # aggregate, so that Spark can split the task of a blob that very many paths share.
+    fresh = cut(blobs.select(F.col("_blob").alias("blob"), *(unseen(r).alias(r.kind) for r in rules)))
     order = {r.kind: i for i, r in enumerate(rules)}
     lists = [F.coalesce(F.col(r.kind), F.array().cast(SPAN)) for r in rules]
     if known is not None:
