@@ -242,3 +242,42 @@ def read_shape(raw: Column) -> Column:
     tokens = F.filter(F.split(F.regexp_replace(F.lower(raw), "[^a-z]", " "), " "), lambda t: t != "")
     first = lambda names: F.get(F.filter(tokens, lambda t: t.isin(*names)), 0)
     return F.coalesce(tight, F.concat(first(SHAPES), F.lit("_"), first(COLOURS)))
+
+
+def graded(kind: Column, expected: Column, raw: Column) -> Column:
+    """Whether an answer is right, read by the kind of its question (sequence, integer, quadrant, shape); what can't be read is wrong."""
+    right = F.when(kind == "sequence", F.array_join(read_sequence(raw), ",") == expected).when(kind == "integer", read_integer(raw).cast("string") == expected)
+    right = right.when(kind == "quadrant", read_quadrant(raw).cast("string") == expected).when(kind == "shape", read_shape(raw) == expected)
+    return F.coalesce(right, F.lit(False))
+
+
+def protected(word: Column) -> Column:
+    """Words that never get a typing error: those that the grammar or the thesaurus needs."""
+    return F.lower(word).isin("scene", "event", "pair", *SYNONYMS, *(v for others in SYNONYMS.values() for v in others))
+
+
+def mistype(line: Column, rate: float, seed: Column) -> Column:
+    """line with typing errors: each word of four letters or more that is not protected gets one with the given probability, by a hash of seed and place.
+
+    The error is a letter doubled, left out, or swapped with the next, or a neighbour on the keyboard in a letter's place or beside it.
+    """
+    if not rate > 0:
+        return line
+    near = F.create_map(*(F.lit(x) for item in keyboard_neighbours().items() for x in item))
+    pieces = F.regexp_extract_all(line, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
+
+    def one(piece: Column, i: Column) -> Column:
+        draw = lambda tag, n: F.pmod(F.xxhash64(seed, i, F.lit(tag)), n).cast("int")
+        n = F.length(piece)
+        at = draw(10, n) + 1
+        letter = F.substring(piece, at, F.lit(1))
+        keys = F.coalesce(F.element_at(near, F.lower(letter)), letter)
+        key = F.substring(keys, draw(11, F.length(keys)) + 1, F.lit(1))
+        head, tail = F.substring(piece, F.lit(1), at - 1), F.substring(piece, at + 1, n)
+        swapped = F.concat(head, F.substring(tail, F.lit(1), F.lit(1)), letter, F.substring(tail, F.lit(2), n))
+        kind = draw(12, F.lit(6))
+        wrong = F.when(kind == 0, F.concat(head, letter, letter, tail)).when(kind == 1, F.concat(head, tail)).when(kind == 2, swapped).when(kind == 3, F.concat(head, key, tail)).when(kind == 4, F.concat(head, letter, key, tail)).otherwise(F.concat(head, key, letter, tail))
+        hit = piece.rlike("^[A-Za-z]{4,}$") & ~protected(piece) & (draw(13, F.lit(1_000_003)) / F.lit(1_000_003.0) < rate)
+        return F.when(hit, wrong).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, one), "")

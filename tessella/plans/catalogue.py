@@ -554,3 +554,98 @@ def rating_permutation(spark, sf_dir):
 def contiguous_index(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.floor(F.col("event_id") / 150).alias("i"))
     return runs.contiguous(e, ["user_id"], "i")
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 4 THEN regexp_full_match(o_orderkey::VARCHAR, '[1-4]') AND o_orderkey = 3 WHEN 2 THEN false ELSE true END AS correct FROM orders""")
+def grade_answers(spark, sf_dir):
+    k = F.col("o_orderkey") % 5
+    raw = F.when(k == 0, " 1, 2,,3").when(k == 1, "4").when(k == 2, "5,1").when(k == 3, "Red  circle!").otherwise(F.col("o_orderkey").cast("string"))
+    kind = F.when(k == 0, "sequence").when(k == 1, "integer").when(k == 3, "shape").otherwise("quadrant")
+    expected = F.when(k == 0, "1,2,3").when(k == 1, "4").when(k == 3, "circle_red").otherwise("3")
+    return table(spark, sf_dir, "orders").select("o_orderkey", sentences.graded(kind, expected, raw).alias("correct"))
+
+
+@query("SELECT l_returnflag AS name, ([220, 30, 30, 60])[CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 ELSE 4 END]::BIGINT AS red, 255 - ([220, 30, 30, 60])[CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 ELSE 4 END]::BIGINT AS inverse_red, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def colour_lookup(spark, sf_dir):
+    colour = media.rgb(F.when(F.col("l_returnflag") == "A", "red").when(F.col("l_returnflag") == "N", "green").when(F.col("l_returnflag") == "R", "blue"))
+    n = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return n.select(F.col("l_returnflag").alias("name"), F.get(colour, 0).cast("bigint").alias("red"), F.get(media.inverse(colour), 0).cast("bigint").alias("inverse_red"), "n")
+
+
+@query("SELECT range AS size, (greatest(range // 64, 5) * 3 + 1) // 2 AS triangle, greatest(range // 64, 5) * 2 AS star, greatest(range // 64, 5) + 2 AS circle, greatest(range * 3 // 100, 1) AS border FROM range(2000)")
+def marker_sizes(spark, sf_dir):
+    size = F.col("id")
+    return spark.range(2000).select(size.alias("size"), *(media.marker_radius(size, F.lit(s)).alias(s) for s in ("triangle", "star", "circle")), media.border_width(size).alias("border"))
+
+
+@query("SELECT doc_id, 0::BIGINT AS unexpected FROM documents")
+def noise_round_trip(spark, sf_dir):
+    """Lines with synonyms are put right again; words with a typing error are right again or unchanged, never another word."""
+    seed = F.col("doc_id")
+    line = F.lit("Event 0001: red circle shape moved within bottom left quadrant relative to the scene center. This happened at the same time as Event 0002.")
+    noisy = table(spark, sf_dir, "documents").select("doc_id", sentences.mistype(sentences.vary(line, 0.5, seed), 0.3, seed).alias("noisy"), line.alias("line"))
+    words = noisy.select("doc_id", F.posexplode(F.arrays_zip(sentences.letters(F.col("noisy")).alias("a"), sentences.letters(F.col("line")).alias("b"))).alias("at", "w")).select("doc_id", F.col("w.a").alias("observed_word"), F.col("w.b").alias("meant"))
+    fixed = sentences.corrected_words(words, "observed_word")
+    wrong = (F.col("corrected") != F.col("meant")) & (F.col("corrected") != F.col("observed_word"))
+    return fixed.groupBy("doc_id").agg(F.count_if(wrong).alias("unexpected"))
+
+
+def _scenes(spark: SparkSession, count: int = 16):
+    from ..sources import scenes
+    from ..sources.config import Config
+
+    config = Config.from_toml()
+    return scenes.generate(spark, config, count), config
+
+
+@query()
+def scene_targets(spark, sf_dir):
+    from . import dataset
+
+    made, config = _scenes(spark)
+    return dataset.targets(made, config, 6).select("scene_index", "task_id", F.col("segment_index").cast("bigint").alias("segment_index"), F.transform("values", lambda v: F.round(v, 6)).alias("values"))
+
+
+@query()
+def scene_tables(spark, sf_dir):
+    from . import dataset
+
+    made, config = _scenes(spark)
+    return dataset.csv_lines(dataset.tabular(made, config))
+
+
+@query()
+def scene_sentences(spark, sf_dir):
+    from . import dataset
+
+    made, config = _scenes(spark)
+    return dataset.text(made, config)
+
+
+@query()
+def scene_frames(spark, sf_dir):
+    from . import dataset
+
+    made, config = _scenes(spark)
+    return dataset.frames(made, config).groupBy("scene_index", "shape_index").agg(F.count("*").alias("frames"), F.round(F.avg("x"), 6).alias("mean_x"))
+
+
+@query()
+def scene_sound(spark, sf_dir):
+    from . import dataset
+
+    made, config = _scenes(spark, 4)
+    return dataset.sound(made, config).select("scene_index", F.length("wav").alias("bytes"), F.sha2("wav", 256).alias("sha"))
+
+
+@query()
+def scene_graph(spark, sf_dir):
+    from . import dataset
+
+    count = 32
+    made, config = _scenes(spark, count)
+    flat = graph.cut(graph.padded(dataset.latents(made, config), "vector").select(F.col("scene_index").alias("id"), "vector"))
+    edges = graph.cut(graph.undirected(graph.knn(flat, "id", "vector", min(config["site_graph.site_k"], count - 1))))
+    parts = graph.components(flat, edges, "id").agg(F.countDistinct("component").alias("components"))
+    stats = graph.degree_stats(graph.degrees(flat, edges, "id"))
+    return checks.graph_verdict(parts.join(stats, F.lit(True)).join(graph.lambda2(flat, edges, "id", 8), F.lit(True)), config["site_graph.site_k"], config["site_graph.lambda2_min"]).withColumn("lambda2", r6(F.col("lambda2")))
