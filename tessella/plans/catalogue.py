@@ -550,7 +550,7 @@ def rating_permutation(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", checks.permutation(ratings, 5).alias("valid"))
 
 
-@query("SELECT user_id, count(*) = max(event_id) + 1 AND min(event_id) = 0 AS contiguous FROM (SELECT user_id, event_id // 150 AS event_id FROM events) GROUP BY user_id")
+@query("SELECT user_id, count(*) = max(event_id) + 1 AND min(event_id) = 0 AND count(DISTINCT event_id) = count(*) AS contiguous FROM (SELECT user_id, event_id // 150 AS event_id FROM events) GROUP BY user_id")
 def contiguous_index(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.floor(F.col("event_id") / 150).alias("i"))
     return runs.contiguous(e, ["user_id"], "i")
