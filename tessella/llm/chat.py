@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bind, cut
 
 ROLES = ("system", "user", "assistant")
 #: What speakers are called in transcripts.
@@ -86,9 +86,10 @@ def lines(df: DataFrame, id_col: str, order_col: str, text_col: str) -> DataFram
     """
     pieces = df.select(F.col(id_col).alias("conv"), F.col(order_col).alias("ord"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     pieces = pieces.repartitionByRange("conv", "ord", "text").sortWithinPartitions("conv", "ord", "text")
-    split = pieces.select("conv", F.posexplode(F.split("text", r"\r?\n|\r")).alias("at", "line"), F.split("text", r"\r?\n|\r").alias("_all"))
-    after_empty = (F.col("at") == 0) | (F.trim(F.get("_all", F.col("at") - 1)) == "")
-    out = split.where(F.trim("line") != "").select("conv", F.monotonically_increasing_id().alias("seq"), "line", code(F.col("line"), after_empty).alias("code"), (F.col("at") == 0).alias("piece_start"))
+    # Each line is told about the one before it inside the array: a row that carried the whole array for that would make long texts quadratic.
+    told = bind(F.split("text", r"\r?\n|\r"), lambda all_: F.transform(all_, lambda x, i: F.struct(x.alias("line"), ((i == 0) | (F.trim(F.get(all_, i - 1)) == "")).alias("after_empty"))))
+    split = pieces.select("conv", F.posexplode(told).alias("at", "x")).select("conv", "at", "x.line", "x.after_empty")
+    out = split.where(F.trim("line") != "").select("conv", F.monotonically_increasing_id().alias("seq"), "line", code(F.col("line"), F.col("after_empty")).alias("code"), (F.col("at") == 0).alias("piece_start"))
     return out.withColumn("segment", F.shiftright("seq", 10))
 
 
