@@ -29,10 +29,13 @@ OUT_TAGS = frozenset("head nav aside footer form button select input label datal
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note status".split())
 OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login "
-    "sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond share sharing social related recommended widget widgets toolbar pagination pager skip masthead".split()
+    "sidebar menu menus nav navbar topnav topbar discussion discussions feedback copyright teaser teasers recommendations navigation breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond share sharing social related recommended widget widgets toolbar pagination pager skip masthead".split()
 )
 #: Words that keep an element in, whatever else its class says.
 IN_WORDS = frozenset("article content main post entry story".split())
+IN_NAMES = IN_WORDS | frozenset("body text wrap wrapper container inner area column page section block full single".split())
+#: First words of names that tell of something near the element, not of the element.
+TELLING = frozenset("has have no not with without is show hide".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: An end of one of these closes no element beyond the nearest of SCOPES.
 SCOPES = frozenset("html body table td th caption template".split())
@@ -56,6 +59,24 @@ class Node:
         self.items: list[Node | str] = []  # children and texts in page order
 
 
+def _by_name(value: str, inside_article: bool) -> tuple[bool, bool]:
+    """What a class or id says, name by name: whether it leaves the element out, and whether it makes it content.
+
+    A name of content words only (post-content, main) makes content; a name with an outside word (post-comments, main-nav) leaves out, unless
+    it only tells of a neighbour (has-sidebar, no-ads).
+    """
+    out = keep = False
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if not words:
+            continue
+        if IN_WORDS.issuperset(words[:1]) and IN_NAMES.issuperset(words):
+            keep = True
+        elif words[0] not in TELLING and (not OUT_WORDS.isdisjoint(words) or ("header" in words and not inside_article)):
+            out = True
+    return out and not keep, keep
+
+
 def _left_out(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
     """Whether an element is no main text by what it says of itself; and whether it says that it is."""
     if tag in OUT_TAGS:
@@ -68,18 +89,15 @@ def _left_out(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bo
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name in ("class", "id"):
-                words = {w.lower() for w in _WORDS.findall(value)}
-                if words & IN_WORDS and not words & (OUT_WORDS - {"nav"}):
-                    keep = True
-                elif words & OUT_WORDS or (words & {"header"} and not inside_article):
-                    out = True
+                x, y = _by_name(value, inside_article)
+                out, keep = out or x, keep or y
             elif name == "role":
                 roles = set(value.lower().split())
                 out |= bool(roles & OUT_ROLES)
                 keep |= bool(roles & {"main", "article"})
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
                 out = True
-    return out and tag not in ("article", "main"), keep
+    return out and tag != "main", keep and not out
 
 
 class _Tree:
@@ -224,8 +242,11 @@ def _chosen(root: Node) -> list[Node | str]:
     while way[-1].parent is not None:
         way.append(way[-1].parent)
     threshold = min((x.density for x in way if x.tag != "html"), default=0.0)
-    if core.keep or core.tag in ("article", "main"):
+    if core.tag in ("article", "main"):
         return [core]
+    if core.keep:
+        # Named content without the element for it: lists of links directly in it are menus.
+        return [x for x in core.items if isinstance(x, str) or x.tag not in BLOCKS or x.tag in HEADINGS or x.out or 2 * x.link_chars <= x.chars]
     if core is root:
         return [root]
     on_way, parts, stack = set(map(id, way)), [], [root]
