@@ -76,8 +76,7 @@ def _share(nodes: DataFrame, parent: list[str], name: str, budget: str, out: str
 
 def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     """leaves (domain, lang, source, tokens, rows) with `budget`: how many tokens each gives, repeats included."""
-    amount = lambda c: F.col(c).cast("decimal(38,0)")
-    leaves = leaves.withColumn("capacity", amount("tokens") * F.lit(plan.epochs).cast("decimal(38,0)")).withColumn("capacity", amount("capacity"))
+    leaves = leaves.withColumn("capacity", (F.col("tokens").cast("decimal(38,0)") * F.lit(plan.epochs)).cast("decimal(38,0)"))
     total = F.sum("tokens").cast("decimal(38,0)")
     wanted = F.lit(plan.tokens).cast("decimal(38,0)") if plan.tokens is not None else F.expr(f"(cast(sum(tokens) as decimal(38,0)) * {int(plan.per_mille)}) div 1000").cast("decimal(38,0)")
     root = leaves.agg(F.least(wanted, (total * plan.epochs).cast("decimal(38,0)")).alias("root_budget"))
@@ -96,7 +95,7 @@ def copies(docs: DataFrame, plan: Plan, id_col: str = "doc_id", domain=default_d
     """One row for each row of docs: doc_id, row_key, domain, lang, source, n_tokens, budget (its leaf's) and copies, how often it is taken.
 
     Null languages and sources are leaves of their own. Documents without tokens are taken in full epochs only, and in the last one if it reaches them.
-    Repeated rows are separate documents, in an order among them that changes nothing in the result.
+    Repeated rows are separate documents, in an order among them that changes nothing in the result. Rows without an id are ordered by their contents.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(*docs.columns).alias("row_key"), domain(F.col("source")).alias("domain"), "lang", "source", n_tokens(F.col("text")).alias("n_tokens"))
     rows = cut(rows)
@@ -106,7 +105,7 @@ def copies(docs: DataFrame, plan: Plan, id_col: str = "doc_id", domain=default_d
     given = given.withColumn("whole", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0))).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
     given = given.select(F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "budget", "whole", "rest", F.ceil(F.col("rows") / RANGE_ROWS).alias("ranges"))
     at = rows.join(given, F.col("domain").eqNullSafe(F.col("_domain")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_domain", "_lang", "_source")
-    at = at.withColumn("_order", F.md5(F.concat_ws(":", F.lit(plan.seed), (F.col("whole") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    at = at.withColumn("_order", F.md5(F.concat_ws(":", F.lit(plan.seed), (F.col("whole") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row"), F.col("row_key").cast("string"))))))
     at = at.withColumn("_range", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("bigint") * F.col("ranges") / F.lit(1 << 32)))
     at = at.withColumn("_leaf", F.xxhash64("domain", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
     at = cut(at)
