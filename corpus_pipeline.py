@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, mixing, rules, secrets, simhash
+from tessella.llm import bpe, mixing, overlap, rules, secrets
 from tessella.llm.common import cut, table
 from tessella.llm.queries import MIX, byte_bpe
 
@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates. Shingles of this operator's contract take three words and link at two bits."""
-    return simhash.keep_one(docs)
+    """One document of each class of near-duplicates: texts linked by a Jaccard similarity of their five-word shingles of 0.8 or more."""
+    return overlap.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -238,7 +238,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
     Rows without an id are kept only in classes that have no other. Of rows equal in all columns one stays.
     """
-    of_rows = classes(df, id_col, text_col, words)
+    return kept(df, classes(df, id_col, text_col, words), id_col)
+
+
+def kept(df: DataFrame, of_rows: DataFrame, id_col: str) -> DataFrame:
+    """The rows that keep_one keeps of df, whose classes are of_rows."""
     # Classes are told apart by their least fingerprint as well, as a class without ids has no component_id.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint").cast("string")))

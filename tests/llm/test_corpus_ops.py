@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import ann, chat, components, language, mixing, quality, simhash
+from tessella.llm import ann, chat, components, language, mixing, overlap, quality, simhash
 from tessella.llm.common import held_out, table
 from tessella.llm.queries import MIX, op2_quality_classifier, op10_language_id, transcripts_text
 
@@ -59,6 +59,32 @@ def test_classes_of_odd_rows(spark):
     assert simhash.classes(docs.where("false")).count() == 0 and simhash.keep_one(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("group", [48, 3])
+def test_stage_joins_near_copies_of_five_word_shingles(spark, monkeypatch, group):
+    monkeypatch.setattr(overlap, "SMALL_GROUP", group)
+    rng = np.random.default_rng(5)
+    rows = []
+    for base in range(8):
+        words = [f"w{x}" for x in rng.integers(0, 400, 150)]
+        for _ in range(70 if base == 0 else 6):
+            some = list(words)
+            for at in rng.integers(0, 150, rng.integers(0, 6)):
+                some[at] = f"x{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(some)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (1000, ""), (1001, None)], "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == [*sorted(set(label)), 1000]
+    assert len(set(label)) < len(rows) / 2
+    assert corpus_pipeline.near_duplicates(spark, docs.where("false"), "").count() == 0
+
+
 def test_mixing(spark, small):
     docs = table(spark, small, "documents")
     rows = mixing.copies(docs, MIX).collect()
