@@ -363,7 +363,7 @@ def laplacian_rayleigh(spark, sf_dir):
 def lambda2_estimate(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     edges = graph.cut(graph.undirected(_knn(spark, sf_dir)))
-    return graph.lambda2(e, edges, "vec_id", 8).select(r6(F.col("lambda2")).alias("lambda2"))
+    return graph.lambda2(e, edges, "vec_id", 64).select(r6(F.col("lambda2")).alias("lambda2"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber::BIGINT AS l_linenumber, format('{:.3f}', CASE WHEN l_discount >= 0 THEN ceil(l_discount * 1000) ELSE floor(l_discount * 1000) END::BIGINT / 1000.0::DOUBLE) || '|' || format('{:.3f}', ceil(l_extendedprice * 1000)::BIGINT / 1000.0::DOUBLE) AS row FROM lineitem")
@@ -648,4 +648,4 @@ def scene_graph(spark, sf_dir):
     edges = graph.cut(graph.undirected(graph.knn(flat, "id", "vector", min(config["site_graph.site_k"], count - 1))))
     parts = graph.components(flat, edges, "id").agg(F.countDistinct("component").alias("components"))
     stats = graph.degree_stats(graph.degrees(flat, edges, "id"))
-    return checks.graph_verdict(parts.join(stats, F.lit(True)).join(graph.lambda2(flat, edges, "id", 8), F.lit(True)), config["site_graph.site_k"], config["site_graph.lambda2_min"]).withColumn("lambda2", r6(F.col("lambda2")))
+    return checks.graph_verdict(parts.join(stats, F.lit(True)).join(graph.lambda2(flat, edges, "id", config["site_graph.lambda2_iterations"]), F.lit(True)), config["site_graph.site_k"], config["site_graph.lambda2_min"]).withColumn("lambda2", r6(F.col("lambda2")))
