@@ -242,6 +242,9 @@ def _chosen(root: Node) -> list[Node | str]:
     while way[-1].parent is not None:
         way.append(way[-1].parent)
     threshold = min((x.density for x in way if x.tag != "html"), default=0.0)
+    if core.tag == "article" and core.parent is not None:
+        # Articles beside it that are as dense are the rest of the text.
+        return [x for x in core.parent.items if x is core or isinstance(x, Node) and x.tag == "article" and not x.out and 2 * x.link_chars <= x.chars and x.density >= threshold]
     if core.tag in ("article", "main"):
         return [core]
     if core.keep:

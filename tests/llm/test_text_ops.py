@@ -115,3 +115,10 @@ def test_html(spark):
     assert {r.page_id: (r.text, r.n_chars) for r in got} == {i: (w, len(w)) for i, (_, w) in enumerate(PAGES)}
     for hostile in ("<div>" * 5000 + "x", '<a "' * 2000, "<p>" * 5000, "</b>" * 100 + "y"):
         html.extract(hostile)
+
+
+def test_html_keeps_sibling_articles():
+    said = lambda w: [w, *(" ".join([w] * 40) + str(i) for i in range(3))]
+    part = lambda w: f"<article><h2>{said(w)[0]}</h2>{''.join(f'<p>{x}</p>' for x in said(w)[1:])}</article>"
+    page = f"<body><nav><a href=1>x</a></nav><div>{part('one')}{part('two')}<article><a href=2>see also this</a></article></div></body>"
+    assert html.extract(page) == "\n\n".join([*said("one"), *said("two")])
