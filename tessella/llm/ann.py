@@ -173,6 +173,8 @@ def _built(settings: Settings, most: int):
         x = np.array(rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
         order = np.lexsort((ids, *x.T[::-1]))
         ids, x = ids[order], x[order]
+        once = np.r_[True, (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)]
+        ids, x = ids[once], x[once]
         new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
         point = np.cumsum(new) - 1
         start = np.flatnonzero(new)

@@ -143,6 +143,13 @@ def test_search(spark):
     assert ann.search(vectors.where("false"), vectors.where("false"), 20).count() == 0
 
 
+def test_search_counts_a_repeated_row_once(spark):
+    rows = [(i, [float(i % 7), 1.0 + i, 2.0]) for i in range(60)] + [(70, [0.0, 1.0, 2.0])]
+    vectors = spark.createDataFrame(rows + [rows[0]] * 30 + [rows[59]] * 3, "vec_id long, embedding array<double>")
+    got = ann.search(vectors, vectors.where("vec_id = 5"), 60).collect()
+    assert sorted(r.vec_id for r in got) == sorted({r[0] for r in rows} - {5})
+
+
 def test_quality(spark, small):
     sf = small.replace("0.001", "0.01")
     got = op2_quality_classifier(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").collect()
