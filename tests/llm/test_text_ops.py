@@ -122,3 +122,11 @@ def test_html_keeps_sibling_articles():
     part = lambda w: f"<article><h2>{said(w)[0]}</h2>{''.join(f'<p>{x}</p>' for x in said(w)[1:])}</article>"
     page = f"<body><nav><a href=1>x</a></nav><div>{part('one')}{part('two')}<article><a href=2>see also this</a></article></div></body>"
     assert html.extract(page) == "\n\n".join([*said("one"), *said("two")])
+
+
+def test_stage_keeps_very_long_texts(spark):
+    import corpus_pipeline
+
+    words = " ".join(f"the{i} word{i} of{i} is" for i in range(260_000))
+    docs = spark.createDataFrame([(1, words)], "doc_id long, text string")
+    assert corpus_pipeline.quality_rules(spark, docs, "").count() == 1
