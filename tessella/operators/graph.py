@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import closeness, squared_euclid
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df read back from the checkpoint folder: spark.checkpoint.dir, or a temporary one where that is not set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-"))
-    return df.checkpoint()
+from ..functions.geometry import closeness
+from .cutting import cut, cut_off
 
 
 def padded(df: DataFrame, vector: str) -> DataFrame:
@@ -30,24 +26,62 @@ def flattened(df: DataFrame, keys: list[str], position: str, parts: list[str], o
     return df.groupBy(*keys).agg(F.flatten(rows).alias(out))
 
 
-def knn(vectors: DataFrame, id_col: str, vector_col: str, k: int, blocks: int | None = None) -> DataFrame:
-    """(src, dst, d2): for each vector the k nearest others, nearest first, equals by id; k is at most the number of others.
+def knn(vectors: DataFrame, id_col: str, vector_col: str, k: int, block_rows: int = 4096) -> DataFrame:
+    """(src, dst, d2, rank): for each vector the k nearest others, nearest first, equals by id; k is at most the number of others.
 
-    Exact: every vector meets every other. Both sides are cut into blocks; a pair of blocks meets in one group of rows,
-    and each keeps only its k best for each vector before the last ranking, so no task gathers more than blocks x k rows of a vector.
+    Exact: every vector meets every other, in blocks of about block_rows that follow from the number of rows. A block meets another in one task as two
+    matrices, and gives its vectors' k best there; the last ranking has blocks x k rows of a vector. Null vectors take no part, and all others
+    must have the same length.
     """
-    n = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    parts = blocks or 8
-    dealt = n.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    left = dealt.select(F.col("id").alias("src"), F.col("v").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = dealt.select(F.col("id").alias("dst"), F.col("v").alias("c"), "b")
-    near = left.join(right, "b").where("src <> dst").select("src", "dst", "b", squared_euclid(F.col("a"), F.col("c")).alias("d2"))
-    first = Window.partitionBy("src", "b").orderBy("d2", "dst")
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
+    blocks = max(-(-rows.count() // block_rows), 1)
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    packed = dealt.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias("points"))
+    asked = packed.select(F.col("points").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (q_ids, q), (p_ids, p) = (_unpacked(batch.column(j)[i].values) for j in (0, 1))
+                for at in range(0, len(q), 512):
+                    who, found, d2 = _nearest(q[at : at + 512], q_ids.slice(at, 512), p, p_ids, k)
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at + who)), p_ids.take(pa.array(found)), pa.array(d2)], names=["src", "dst", "d2"])
+
+    best = asked.join(packed, "b").select("queries", "points").mapInArrow(work, f"src {id_type}, dst {id_type}, d2 double")
     last = Window.partitionBy("src").orderBy("d2", "dst")
-    best = near.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_r", "b")
     return best.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
 
 
+def _unpacked(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+    """The ids and the matrix of a block, by id."""
+    order = pc.sort_indices(rows.field("id"))
+    ids = rows.field("id").take(order)
+    x = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    return ids, x[order.to_numpy()]
+
+
+def _nearest(q: np.ndarray, q_ids: pa.Array, p: np.ndarray, p_ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, point's place, squared distance) of the k nearest others of each query; points come in the order of their ids."""
+    squares = (p * p).sum(axis=1)[None, :] + (q * q).sum(axis=1)[:, None]
+    about = squares - 2 * (q @ p.T)
+    own = pc.index_in(q_ids, p_ids)
+    here = np.flatnonzero(own.is_valid())
+    about[here, own.drop_null().to_numpy()] = np.inf
+    most = min(k, len(p))
+    limit = np.partition(about, most - 1, axis=1)[:, most - 1]
+    # A matrix product rounds differently from a sum of squares: what it can't tell apart is measured again.
+    who, at = np.nonzero(about <= (limit + 1e-9 * (1 + np.abs(squares).max(axis=1)))[:, None])
+    d2 = np.empty(len(who))
+    for i in range(0, len(who), 1 << 16):
+        part = slice(i, i + (1 << 16))
+        d2[part] = ((q[who[part]] - p[at[part]]) ** 2).sum(axis=1)
+    order = np.lexsort((at, d2, who))
+    who, at, d2 = who[order], at[order], d2[order]
+    first = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[first], at[first], d2[first]
+
+
 def undirected(directed: DataFrame) -> DataFrame:
     """(src, dst, weight) with src < dst, each edge once, whichever end chose the other."""
     return directed.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(closeness(F.min("d2")).alias("weight"))
@@ -82,18 +116,39 @@ def edge_faults(edges: DataFrame, node_count: Column) -> DataFrame:
     return edges.withColumn("_many", many).withColumn("fault", F.explode(F.array_compact(rules))).drop("_many")
 
 
-def components(nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
-    """(node, component): the least node that can be reached. Labels spread along edges and are shortened by pointer jumps until none changes."""
-    both = cut(both_ways(edges))
-    labels = cut(nodes.select(F.col(id_col).alias("node"), F.col(id_col).alias("component")).distinct())
+def roots(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """One row (node, root) for each node of links between different nodes; root is the least node of its component. By alternating star contractions.
+
+    Each round hangs every neighbour of a node that is larger than it under the least node of its neighbourhood, then
+    does the same with the smaller ones, until nothing changes. Links stay in Spark and are cut from
+    their lineage each round; the number of rounds grows with the logarithm of the longest path. Self-links,
+    repeated links and null ends are ignored.
+    """
+    pairs = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    pairs = cut(pairs)
+    before = None
     while True:
-        nearby = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("_m"))
-        spread = labels.join(nearby, "node", "left").select("node", F.col("component").alias("_old"), F.least("component", F.coalesce("_m", "component")).alias("component"))
-        jump = spread.select(F.col("node").alias("component"), F.col("component").alias("_next"))
-        new = cut(spread.join(jump, "component", "left").select("node", "_old", F.least("component", F.coalesce("_next", "component")).alias("component")))
-        if new.where("component <> _old").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Every u of `large` is now larger than its v: the small star.
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(lowest, "u")
+        new = cut(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).distinct())
+        cut_off(pairs)
+        pairs = new
+        after = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if after == before:
+            break
+        before = after
+    heads = pairs.select(F.col("v").alias("node")).distinct().join(pairs.select(F.col("u").alias("node")), "node", "left_anti")
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(heads.select("node", F.col("node").alias("root")))
+
+
+def components(nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """(node, component): the least node that can be reached; a node without edges is its own component."""
+    found = roots(edges, "src", "dst")
+    return nodes.select(F.col(id_col).alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def laplacian_step(edges: DataFrame, values: DataFrame) -> DataFrame:
@@ -122,11 +177,15 @@ def lambda2(nodes: DataFrame, edges: DataFrame, id_col: str, iterations: int = 6
     """
     edges = cut(edges.select("src", "dst"))
     values = cut(centred(nodes.select(F.col(id_col).alias("node"), (F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 29)) - 1.0).alias("x"))))
+    last = None
     beta = 2 * (degrees(nodes, edges, id_col).agg(F.max("degree")).first()[0] or 0) + 1
     for _ in range(iterations):
         stepped = cut(laplacian_step(edges, values).select("node", (F.col("x") - F.col("lx") / float(beta)).alias("x")))
         mean, squares, n = stepped.agg(F.avg("x"), F.sum(F.col("x") * F.col("x")), F.count("*")).first()
         norm = max((squares or 0.0) - n * (mean or 0.0) ** 2, 0.0) ** 0.5
         sign = F.when(F.col("node") % 2 == 0, 1.0).otherwise(-1.0)
+        if last is not None:
+            cut_off(last)
+        last = stepped
         values = stepped.select("node", ((F.col("x") - mean) / norm if norm > 1e-12 else sign).alias("x"))
     return rayleigh(laplacian_step(edges, values)).withColumnRenamed("rayleigh", "lambda2")

@@ -15,11 +15,13 @@ def split_of(position: Column, n: Column) -> Column:
     return F.when(position < train, "train").when(position < train + F.floor(n * VAL / 100), "val").otherwise("test")
 
 
-def split_by_position(df: DataFrame, order: str, out: str = "split", ranges: int = 64) -> DataFrame:
+def split_by_position(df: DataFrame, order: str, out: str = "split", ranges: int | None = None) -> DataFrame:
     """df with each row's part, by its place in the order; ties in order are broken by the whole row.
 
-    The place is counted in two steps, by ranges of the order and within each, so no task sorts all rows.
+    The place is counted in two steps, by ranges of the order and within each, so no task sorts all rows. There are as many ranges as the session
+    has shuffle partitions, unless their number is given.
     """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = [c for c in df.columns if c != order]
     dealt = df.repartitionByRange(ranges, F.col(order), *columns).withColumn("_part", F.spark_partition_id())
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
