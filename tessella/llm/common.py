@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.cutting import cut, cut_off  # noqa: F401  the operators of this folder take them from here
+
 #: The white space that separates words: space and U+0009 to U+000D, as a regular expression class and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -20,18 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from the files, so that lost executors cost no recomputation.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; where none is named (tests on one
-    machine), a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-"))
-    return df.checkpoint()
-
-
 def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     """True for rows that no model may learn from: crc32 of the id as text leaves this remainder. A null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus == remainder, F.lit(False))
@@ -48,22 +39,42 @@ def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | p
     return df.mapInArrow(run, schema)
 
 
+def in_parts(batch: pa.RecordBatch, text_column: int, rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in slices of at most so many rows, and of at most so many bytes of text unless one text alone is larger."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = min(max(int(np.searchsorted(ends, before + size, "right")), at + 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once for the row however often body uses it."""
     return F.transform(F.array(value), body)[0]
 
 
-def bounded_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, values: list, part: int, text_col: str) -> DataFrame:
-    """At most part x len(values) rows (h, text, label) of docs to learn from: for each label value the ids with the least hash, as many as `part`.
+def bounded_rows(labelled: DataFrame, docs: DataFrame | None, id_col: str, label_col: str, text_col: str, most: int) -> DataFrame:
+    """At most `most` rows (h, text, label) to learn from, or one of each label if there are more labels: of each label the rows whose ids have the least hash, in equal parts.
 
-    labels has id_col and label_col; it may be docs itself. Ids are chosen before texts are looked at, so no text is shuffled
-    but those of the rows that are returned, and what is broadcast is as bounded as they are. Rows without id are passed over.
+    labelled has id_col and label_col. Where the texts stand in the same rows, docs is None and text_col is a column of labelled, so that each
+    text keeps the label of its own row; else texts are looked up in docs by id. Ids are chosen in one pass that reads no text, for any number
+    of labels. Rows without an id or a label are passed over.
     """
-    slim = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"), F.xxhash64(id_col).alias("h"))
-    picked = None
-    for v in values:
-        some = slim.where(F.col("label") == v).distinct().orderBy("h", "_id").limit(part)
-        picked = some if picked is None else picked.union(some)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "_id")
+    slim = labelled.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(label_col).alias("label"))
+    # Each task keeps the least hashes of each label before anything is shuffled.
+    place = Window.partitionBy("label").orderBy("h")
+    first = cut(slim.distinct().withColumn("place", F.row_number().over(place)).where(F.col("place") <= most).select("label", "h", "place"))
+    labels = max(first.select("label").distinct().count(), 1)
+    part = max(most // labels, 1)
+    if docs is None:
+        # A label's rows up to its last hash: one row is joined for each label.
+        last = first.where(F.col("place") <= part).groupBy(F.col("label").alias("_label")).agg(F.max("h").alias("_last"))
+        rows = labelled.select(F.xxhash64(id_col).alias("h"), F.col(label_col).alias("label"), F.col(text_col).cast("string").alias("text"), F.col(id_col).isNotNull().alias("_known"))
+        rows = rows.join(F.broadcast(last), (F.col("label") == F.col("_label")) & (F.col("h") <= F.col("_last")) & F.col("_known"))
+    else:
+        chosen = first.where(F.col("place") <= part).select("h", "label")
+        rows = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "h")
     # An id may stand in many rows.
-    return rows.select("h", "text", "label").orderBy("h", "label", "text").limit(part * len(values))
+    return rows.select("h", "text", "label").orderBy("h", "label", "text").limit(part * labels)

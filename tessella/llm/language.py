@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows
+from .common import bounded_rows, in_parts
 from .ngrams import letter_classes, trigram_counts
 
 #: Families of closely related languages; a language that is not listed is a family of its own.
@@ -34,7 +34,7 @@ _LETTER = regex.compile(r"\p{L}")
 
 @dataclass(frozen=True)
 class Settings:
-    """fit_rows bounds the labelled rows that are learnt from, in equal parts for each language."""
+    """fit_rows bounds the labelled rows that are learnt from, in equal parts for each language, at least one of each."""
 
     fit_rows: int = 2400
     steps: int = 150
@@ -112,18 +112,24 @@ def _chance(margin: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from rows with a language and a text with a letter. Of each language the rows with the least hash of their id are taken, up to its part of fit_rows."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    known = sorted(r[0] for r in rows.select(lang_col).distinct().collect())
-    if not known:
-        return Model([], {}, np.zeros((0, BUCKETS + 1), np.float32), {}, {})
-    picked = bounded_rows(rows, rows, id_col, lang_col, known, max(settings.fit_rows // len(known), 1), text_col)
+    """Learn from rows with an id, a language and a text with a letter; each text is learnt under the language of its own row.
+
+    Of each language the rows with the least hash of their id are taken, up to its part of fit_rows. A language none of whose rows taken
+    has a letter is not learnt. With nothing to learn from, the model predicts `und` for all texts.
+    """
+    picked = bounded_rows(labelled, None, id_col, lang_col, text_col, settings.fit_rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([features(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["h", "lang", "x"])
-
-    got = picked.repartition(8, "h").mapInArrow(work, "h bigint, lang string, x binary").toPandas().sort_values(["lang", "h"], kind="stable")
+            for part in in_parts(batch, 1):
+                texts = part.column(1).to_pylist()
+                on = pa.array([bool(t and _LETTER.search(t)) for t in texts], pa.bool_())
+                x = pa.array([features(t).tobytes() for t, lettered in zip(texts, on.to_pylist()) if lettered], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(on), part.column(2).filter(on), x], names=["h", "lang", "x"])
+
+    got = picked.select("h", "text", F.col("label").alias("lang")).repartition(8, "h").mapInArrow(work, "h bigint, lang string, x binary").toPandas().sort_values(["lang", "h", "x"], kind="stable")
+    if not len(got):
+        return Model([], {}, np.zeros((0, BUCKETS + 1), np.float32), {}, {})
     x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]])
     lang = got["lang"].to_numpy()
     fam = np.array([family(v) for v in lang])
@@ -141,18 +147,13 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     return Model(families, members, first, pairs, between)
 
 
-#: Texts that are predicted together.
-BLOCK = 256
-
-
 def predicted(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of df: doc_id, lang_pred and score. Repeated rows stay."""
+    """One row for each row of df: doc_id, lang_pred and score. Repeated rows stay; null texts and texts without a letter are `und` with score 0."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            for part in in_parts(batch, 1):
                 langs, scores = shared.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

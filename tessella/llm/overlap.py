@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import components
+from ..operators.graph import roots as components
 from .simhash import kept
 
 BANDS, ROWS = 25, 5

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut
-from .components import components
+from ..operators.graph import roots as components
 
 #: Bits in which linked fingerprints may differ.
 DISTANCE = 2

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import ann, chat, components, language, mixing, overlap, quality, simhash
+from tessella.llm import ann, chat, language, mixing, overlap, quality, simhash
 from tessella.llm.common import held_out, table
+from tessella.operators.graph import roots
 from tessella.llm.queries import MIX, op2_quality_classifier, op10_language_id, transcripts_text
 
 
@@ -41,7 +42,7 @@ def test_links(spark, small, large):
         parts += some
     high = parts[0] & np.uint64(0xFFFFFFFF00000000)
     fps = np.unique(np.array([*parts, *(high | np.uint64(int(rng.integers(2**32))) for _ in range(80))], np.uint64))
-    got = components.components(simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), small, large)).collect()
+    got = roots(simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), small, large)).collect()
     label = {r.node: r.root for r in got}
     mine = [label.get(int(x), int(x)) for x in fps.view(np.int64)]
     want = brute_classes(fps)
