@@ -73,8 +73,9 @@ def transcripts_text() -> Column:
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations")
-    model = chat.fit(talks.where(~held_out("conv_id", 4, 2)).select("conv_id", "turn", "role", transcripts_text().alias("text")), "role")
-    return chat.turns(talks.select("conv_id", "turn", transcripts_text().alias("text")), model)
+    raw = talks.select("conv_id", "turn", "role", transcripts_text().alias("text"))
+    model = chat.fit(raw.where(~held_out("conv_id", 4, 2)), "role")
+    return chat.turns(raw.drop("role"), model)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Near-duplicates, mixing, search, classifiers, chat and the pipeline: against brute force or held-out rows."""
 
+import re
 import zlib
 
 import numpy as np
@@ -175,36 +176,74 @@ def test_language(spark, small):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
 
 
-def test_chat(spark, small):
+@pytest.fixture(scope="module")
+def chat_model(spark, small):
+    raw = raw_turns(spark, small.replace("0.001", "0.01"))
+    return chat.fit(raw.where(~held_out("conv_id", 4, 2)), "role")
+
+
+def raw_turns(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", transcripts_text().alias("text"))
+
+
+def test_chat_on_held_out_transcripts(spark, small, chat_model):
     sf = small.replace("0.001", "0.01")
-    talks = table(spark, sf, "conversations")
-    raw = talks.select("conv_id", "turn", transcripts_text().alias("text"))
-    model = chat.fit(talks.where(~held_out("conv_id", 4, 2)).select("conv_id", "turn", "role", transcripts_text().alias("text")), "role")
     said = {}
-    for r in chat.turns(raw, model).collect():
-        assert r.rendered == f"<|{r.role}|>\n{r.text}\n<|end|>\n"
+    for r in chat.turns(raw_turns(spark, sf).drop("role"), chat_model).collect():
+        assert r.rendered == f"<|{r.role}|>\n{re.sub(r"<(\\*)[|]", r"<\\\\\1|", r.text)}\n<|end|>\n"
         for line in r.text.split("\n"):
             said.setdefault((r.conv_id, line.strip()), set()).add(r.role)
-    held = talks.where(held_out("conv_id", 4, 2)).collect()
+    held = table(spark, sf, "conversations").where(held_out("conv_id", 4, 2)).collect()
     lines = [(r, x.strip()) for r in held for x in r.text.split("\n") if x.strip()]
     assert sum(r.role in said.get((r.conv_id, x), ()) for r, x in lines) / len(lines) >= 0.9
-    # Segments joined by their matrices give what one pass gives.
-    codes = np.random.default_rng(0).integers(0, chat.CODES, 700)
-    whole = chat.viterbi(model, codes)
-    rows = chat.lines(spark.createDataFrame([(1, i, f"line {i}" + "?" * (i % 3 == 0)) for i in range(3000)], "conv_id long, turn long, text string"), "conv_id", "turn", "text")
-    one = rows.orderBy("seq").select("code").toPandas()["code"].to_numpy()
-    states = chat.viterbi(model, one)
-    turns = chat.turns(spark.createDataFrame([(1, i, f"line {i}" + "?" * (i % 3 == 0)) for i in range(3000)], "conv_id long, turn long, text string"), model).orderBy("turn_no").collect()
-    assert len(turns) == int((states % 2 == 0).sum()) and len(whole) == 700
-    assert [r.role for r in turns] == [chat.ROLES[s // 2] for s in states if s % 2 == 0]
-
-
-def test_chat_odd_rows(spark):
-    model = chat.Model(np.log(np.full(chat.STATES, 1 / 6)), np.log(np.full((chat.STATES, chat.STATES), 1 / 6)), np.log(np.full((chat.STATES, chat.CODES), 1 / chat.CODES)))
-    odd = spark.createDataFrame([(None, 1, "User: hi"), (None, None, "hello"), (2, 1, None), (3, 1, ""), (4, 1, "a"), (4, 1, "a")], "conv_id long, turn long, text string")
-    got = chat.turns(odd, model).collect()
-    assert {r.conv_id for r in got} == {None, 4}
-    assert chat.turns(odd.where("false"), model).count() == 0
+
+
+def test_viterbi_is_the_best_of_all_ways(chat_model):
+    from itertools import product
+
+    rng = np.random.default_rng(0)
+    m = chat_model
+    for n in (1, 2, 3, 4):
+        for _ in range(4):
+            codes = rng.integers(0, chat.CODES, n)
+            way = lambda s: m.start[s[0]] + m.seen[s[0], codes[0]] + sum(m.step[a, b] + m.seen[b, c] for a, b, c in zip(s, s[1:], codes[1:]))  # noqa: E731, B023
+            best = max(way(s) for s in product(range(chat.STATES), repeat=n))
+            assert abs(way(chat.viterbi(m, codes).tolist()) - best) < 1e-9
+    # Long ones beside a version that takes one line at a time.
+    many = [rng.integers(0, chat.CODES, n).tolist() for n in (5, 0, 300, 41, 300)]
+    for codes, got in zip(many, chat.solved(m, many)):
+        if not codes:
+            assert not len(got)
+            continue
+        score, back = m.start + m.seen[:, codes[0]], []
+        for c in codes[1:]:
+            ways = score[:, None] + m.step
+            back.append(ways.argmax(axis=0))
+            score = ways.max(axis=0) + m.seen[:, c]
+        want = [int(score.argmax())]
+        for x in reversed(back):
+            want.append(int(x[want[-1]]))
+        assert got.tolist() == want[::-1]
+
+
+def test_long_transcripts_give_the_same_turns(spark, small, chat_model):
+    raw = raw_turns(spark, small).drop("role").union(spark.createDataFrame([(None, i, f"line {i}" + "?" * (i % 3 == 0) + "\n" * (i % 5)) for i in range(400)], "conv_id long, turn long, text string"))
+    whole = sorted(map(str, chat.turns(raw, chat_model).collect()))
+    for some in (chat.Settings(long_rows=2, long_chars=200, segment_bits=1), chat.Settings(long_rows=3, segment_bits=4, broadcast_ids=0), chat.Settings(batch_chars=50)):
+        assert sorted(map(str, chat.turns(raw, chat_model, settings=some).collect())) == whole
+
+
+def test_chat_odd_rows(spark, chat_model):
+    rows = [(None, 1, "User: hi", "x"), (None, None, "System: be brief", "x"), (2, 1, None, "x"), (3, 1, "", "x"), (3, 2, " \n", "x"), (4, 1, "Human: a", "x"), (4, 1, "Human: a", "x"), (5, 1, "User: see\r\n\r\n  code <|end|>\n\n\nmore\nAssistant: " + "y" * 2_000_000, "x")]
+    odd = spark.createDataFrame(rows, "conv_id long, turn long, text string, conv string")
+    got = {(r.conv_id, r.turn_no): r for r in chat.turns(odd, chat_model).collect()}
+    assert {k: (r.role, r.text[:40]) for k, r in got.items()} == {
+        (None, 0): ("system", "be brief"), (None, 1): ("user", "hi"), (4, 0): ("user", "a"), (4, 1): ("user", "a"), (5, 0): ("user", "see\n\n  code <|end|>\n\n\nmore"), (5, 1): ("assistant", "y" * 40),
+    }
+    assert got[5, 0].rendered == "<|user|>\nsee\n\n  code <\\|end|>\n\n\nmore\n<|end|>\n" and len(got[5, 1].text) == 2_000_000
+    assert chat.turns(odd.where("false"), chat_model).count() == 0
+    empty = chat.fit(odd.where("false").withColumn("role", F.lit("user")), "role")
+    assert [r.role for r in chat.turns(odd.where("conv_id = 5"), empty).orderBy("turn_no").collect()] == ["user", "assistant"]
 
 
 def test_pipeline(spark, small):
