@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, MapType, StructField, StructType
 
 from ..operators.cutting import cut, cut_off  # noqa: F401  the operators of this folder take them from here
 
@@ -23,6 +23,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, made of the given ones by underscores; columns of df may be called anything."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _hashable(field: StructField) -> Column:
+    held = [field.dataType]
+    while held:
+        t = held.pop()
+        if isinstance(t, MapType):
+            # Maps have no hash.
+            return F.to_json(F.struct(F.col(f"`{field.name}`").alias("x")))
+        held += [f.dataType for f in t.fields] if isinstance(t, StructType) else [t.elementType] if isinstance(t, ArrayType) else []
+    return F.col(f"`{field.name}`")
+
+
+def row_key(df: DataFrame) -> Column:
+    """A hash of all columns of a row, of any type: rows that are equal in all columns have one key."""
+    return F.xxhash64(*map(_hashable, df.schema.fields))
+
+
 def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     """True for rows that no model may learn from: crc32 of the id as text leaves this remainder. A null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus == remainder, F.lit(False))

@@ -2,9 +2,12 @@
 
 For every node of a page's tree: its characters per tag, adjusted for how many of the characters and tags are links' (the composite density).
 The node whose children's densities sum to the most is the core of the content. The least density on the way from the
-page's body to the core is the threshold; beside the core, what hangs from that way and is as dense as the threshold belongs to
-the content too. Parts that say by their tag, role or class that they are menus, adverts, forms, notices, comments and the like
-are taken out beforehand.
+page's body to the core is a threshold; beside the core, what hangs from that way belongs to the content too if it reaches the threshold and half the
+density of the core. A block without a tag in it must be as dense as the core, since its whole text counts as its density. Blocks that are mostly
+links are left out beside the core, and directly in it where it isn't an article.
+
+Parts that say by their tag, role or class that they are menus, adverts, forms, notices, comments and the like are taken out beforehand, and what
+names itself the article is taken whole. On pages that name nothing, density alone decides.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ from math import e, log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from .common import in_parts, unused
 
 #: Elements by their role in a page's structure.
 BLOCKS = frozenset(
@@ -219,6 +225,13 @@ def _measured(root: Node) -> list[Node]:
     return order
 
 
+def _without_link_lists(x: Node) -> list[Node | str]:
+    """What is in x, without the blocks that are mostly links: directly in it, those are menus. In an html element, the same of its body."""
+    if x.tag == "html":
+        return [z for y in x.items for z in (_without_link_lists(y) if isinstance(y, Node) and y.tag == "body" else [y])]
+    return [y for y in x.items if isinstance(y, str) or y.tag not in BLOCKS or y.tag in HEADINGS or y.out or 2 * y.link_chars <= y.chars]
+
+
 def _chosen(root: Node) -> list[Node | str]:
     """The parts of the tree that make up the content, in page order."""
     order = _measured(root)
@@ -248,10 +261,11 @@ def _chosen(root: Node) -> list[Node | str]:
     if core.tag in ("article", "main"):
         return [core]
     if core.keep:
-        # Named content without the element for it: lists of links directly in it are menus.
-        return [x for x in core.items if isinstance(x, str) or x.tag not in BLOCKS or x.tag in HEADINGS or x.out or 2 * x.link_chars <= x.chars]
-    if core is root:
-        return [root]
+        # Named content without the element for it.
+        return _without_link_lists(core)
+    if core.tag in ("html", "body"):
+        # No block stands out: all of the body but its lists of links.
+        return _without_link_lists(core)
     on_way, parts, stack = set(map(id, way)), [], [root]
     while stack:
         x = stack.pop()
@@ -260,7 +274,7 @@ def _chosen(root: Node) -> list[Node | str]:
         elif id(x) in on_way:
             # Breaks keep the texts of different blocks apart.
             stack += ["\0", *reversed(x.items), "\0"]
-        elif not x.out and 2 * x.link_chars <= x.chars and (x.tag in HEADINGS or x.density >= threshold):
+        elif not x.out and 2 * x.link_chars <= x.chars and (x.tag in HEADINGS or x.density >= max(threshold, core.density if x.tags == 0 else core.density / 2)):
             parts.append(x)
     return parts
 
@@ -294,14 +308,17 @@ def extract(page: str | None) -> str:
 
 
 def extracted(df: DataFrame, html_col: str = "html", out_col: str = "text", *kept: str) -> DataFrame:
-    """The columns `kept` of df, with the main text and its length in code points (out_col, n_chars). One row for each row."""
+    """The columns `kept` of df, with the main text and its length in code points (out_col, n_chars). One row for each row; kept columns called out_col or n_chars give way."""
+    (source,) = unused(df, "_html")
+    names = [c for c in kept if c.lower() not in (out_col.lower(), "n_chars")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(x.as_py()) for x in batch.column(0)]
-            new = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*batch.schema.names[1:], out_col, "n_chars"])
-
-    slim = df.select(F.col(html_col).cast("string").alias("_html"), *kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("_html").schema.fields)
-    return slim.mapInArrow(work, f"{schema + ', ' if schema else ''}`{out_col}` string, n_chars bigint")
+            for part in in_parts(batch, 0):
+                texts = [extract(x.as_py()) for x in part.column(0)]
+                new = [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *new], names=[*part.schema.names[1:], out_col, "n_chars"])
+
+    slim = df.select(F.col(html_col).cast("string").alias(source), *(F.col(f"`{c}`") for c in names))
+    schema = StructType([*slim.drop(source).schema.fields, StructField(out_col, StringType()), StructField("n_chars", LongType())])
+    return slim.mapInArrow(work, schema)

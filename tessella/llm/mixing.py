@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, cut
+from .common import SPACE_CLASS, cut, row_key, unused
 
 #: Documents in a range of a leaf's order, about.
 RANGE_ROWS = 2048
@@ -25,7 +25,10 @@ RANGE_ROWS = 2048
 
 @dataclass(frozen=True)
 class Plan:
-    """What to mix. Weights are whole numbers, compared among siblings only; names that are not listed get `other`."""
+    """What to mix. Weights are whole numbers, compared among siblings only; names that are not listed get `other`.
+
+    Weight 0 leaves a name out: nothing below it is taken, and what it would get goes to its siblings.
+    """
 
     domain_weights: dict[str, int] = field(default_factory=dict)
     lang_weights: dict[str, int] = field(default_factory=dict)
@@ -37,6 +40,10 @@ class Plan:
     epochs: int = 2
     seed: int = 42
 
+    def __post_init__(self):
+        if min([self.other, *self.domain_weights.values(), *self.lang_weights.values(), *self.source_weights.values()]) < 0:
+            raise ValueError("weights must not be negative")
+
 
 def default_domain(source: Column) -> Column:
     """The domain of a source that is told by the last digit of its name."""
@@ -62,7 +69,8 @@ def _share(nodes: DataFrame, parent: list[str], name: str, budget: str, out: str
     A child is full if its capacity is at most its weight's part of what is left after all children with less capacity for their weight.
     """
     family = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    ratio = (F.col("capacity").cast("double") / F.col("weight").cast("double")).alias("ratio")
+    # Weight 0 goes with capacity 0.
+    ratio = F.when(F.col("weight") > 0, F.col("capacity").cast("double") / F.greatest(F.col("weight"), F.lit(1)).cast("double")).otherwise(F.lit(0.0))
     order = family.orderBy("_ratio", "_name")
     left = nodes.withColumn("_ratio", ratio).withColumn("_name", F.coalesce(F.concat(F.lit("="), name), F.lit("")))
     left = left.withColumn("_before", F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("decimal(38,0)"))
@@ -76,10 +84,10 @@ def _share(nodes: DataFrame, parent: list[str], name: str, budget: str, out: str
 
 def budgets(leaves: DataFrame, plan: Plan) -> DataFrame:
     """leaves (domain, lang, source, tokens, rows) with `budget`: how many tokens each gives, repeats included."""
-    leaves = leaves.withColumn("capacity", (F.col("tokens").cast("decimal(38,0)") * F.lit(plan.epochs)).cast("decimal(38,0)"))
-    total = F.sum("tokens").cast("decimal(38,0)")
+    given = (_weight("domain", plan.domain_weights, plan.other) > 0) & (_weight("lang", plan.lang_weights, plan.other) > 0) & (_weight("source", plan.source_weights, plan.other) > 0)
+    leaves = leaves.withColumn("capacity", F.when(given, F.col("tokens")).otherwise(F.lit(0)).cast("decimal(38,0)") * F.lit(plan.epochs)).withColumn("capacity", F.col("capacity").cast("decimal(38,0)"))
     wanted = F.lit(plan.tokens).cast("decimal(38,0)") if plan.tokens is not None else F.expr(f"(cast(sum(tokens) as decimal(38,0)) * {int(plan.per_mille)}) div 1000").cast("decimal(38,0)")
-    root = leaves.agg(F.least(wanted, (total * plan.epochs).cast("decimal(38,0)")).alias("root_budget"))
+    root = leaves.agg(F.least(wanted, F.sum("capacity").cast("decimal(38,0)")).alias("root_budget"))
     langs = leaves.groupBy("domain", "lang").agg(F.sum("capacity").cast("decimal(38,0)").alias("capacity"))
     domains = langs.groupBy("domain").agg(F.sum("capacity").cast("decimal(38,0)").alias("capacity"))
     domains = domains.withColumn("weight", _weight("domain", plan.domain_weights, plan.other)).join(F.broadcast(root), F.lit(True))
@@ -97,7 +105,7 @@ def copies(docs: DataFrame, plan: Plan, id_col: str = "doc_id", domain=default_d
     Null languages and sources are leaves of their own. Documents without tokens are taken in full epochs only, and in the last one if it reaches them.
     Repeated rows are separate documents, in an order among them that changes nothing in the result. Rows without an id are ordered by their contents.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(*docs.columns).alias("row_key"), domain(F.col("source")).alias("domain"), "lang", "source", n_tokens(F.col("text")).alias("n_tokens"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(docs).alias("row_key"), domain(F.col("source")).alias("domain"), "lang", "source", n_tokens(F.col("text")).alias("n_tokens"))
     rows = cut(rows)
     leaves = rows.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     given = budgets(leaves, plan)
@@ -119,9 +127,10 @@ def copies(docs: DataFrame, plan: Plan, id_col: str = "doc_id", domain=default_d
 
 def mixed(docs: DataFrame, plan: Plan, id_col: str = "doc_id", domain=default_domain) -> DataFrame:
     """The rows of docs, each as often as the plan takes it, with docs' columns."""
+    of_id, key, times = unused(docs, "_id", "_key", "_copies")
+    none = F.lit(-(2**63))
     taken = copies(docs, plan, id_col, domain).where("copies > 0")
-    keys = [F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("_id"), F.xxhash64(*docs.columns).alias("_key")]
-    taken = taken.groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("row_key").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"))
+    taken = taken.groupBy(F.coalesce("doc_id", none).alias(of_id), F.col("row_key").alias(key)).agg(F.sum("copies").cast("int").alias(times))
     # Rows that are equal in all columns have one key: one of them stands for all, with all their copies.
-    single = docs.select("*", *keys).dropDuplicates(["_id", "_key"])
-    return single.join(taken, ["_id", "_key"]).withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    single = docs.select("*", F.coalesce(F.col(id_col).cast("bigint"), none).alias(of_id), row_key(docs).alias(key)).dropDuplicates([of_id, key])
+    return single.join(taken, [of_id, key]).withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))

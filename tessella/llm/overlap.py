@@ -4,8 +4,9 @@ Texts of equal shingles are one set. Each set is indexed under 25 bands of five
 similarity is 0.8 a pair shares a band with odds of 0.99995, and more similar ones with better. Sets that share a band are compared by all
 their shingles, so no pair below the threshold is linked. Only texts that share a band with another set are read again.
 
-Of a band that many share, texts rather than pairs are dealt out: one task holds the group and searches it breadth first by its
-lists of shingles, each set against those not reached yet. All other pairs that are not connected by then are compared one by one.
+Of a band that many share, texts rather than pairs are dealt out: the group is cut into blocks of bounded size, and a task holds two of them, or the
+one there is, and searches them breadth first by their lists of shingles, each set against those not reached yet. Each two blocks meet in one task, so no
+link is lost however large the group is. All other pairs that are not connected by then are compared one by one.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
 from ..operators.graph import roots as components
+from .common import cut, row_key
 from .simhash import kept
 
 BANDS, ROWS = 25, 5
 #: Groups up to this size are compared pair by pair.
 SMALL_GROUP = 48
+#: Shingles of a block of a larger group, about.
+BLOCK_SHINGLES = 1_000_000
 
 _RNG = np.random.default_rng(42)
 _TIMES = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,12 +122,13 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     Classes are the components of the graph in which texts are linked whose sets of shingles have a Jaccard similarity of percent / 100 or
     more. component_id is the least id of the class; null ids are passed over. Texts without words are equal.
     """
-    keyed = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(*df.columns).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    keyed = df.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(df).alias("row_key"), F.col(text_col).cast("string").alias("text"))
     rows = cut(keyed.mapInArrow(_signed(words), "doc_id bigint, row_key bigint, digest bigint, n bigint, bands array<bigint>"))
     prints = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     prints = cut(prints)
     keys = prints.select("digest", "n", F.explode("bands").alias("key"))
-    members = cut(keys.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"))
+    group = keys.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    members = cut(keys.join(group, "key"))
     asked = members.select("digest").distinct().join(prints.select("digest", "row_key"), "digest")
     texts = cut(keyed.select("row_key", "text").join(asked, "row_key").dropDuplicates(["digest"]).select("digest", "text"))
 
@@ -145,8 +149,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     pair = F.least("digest", "digest2").alias("a"), F.greatest("digest", "digest2").alias("b")
     second = F.col("digest").alias("digest2"), F.col("n").alias("n2"), F.col("root").alias("root2")
-    large = members.where(F.col("size") > SMALL_GROUP)
-    near = cut(large.select("key", "digest").join(texts, "digest").groupBy("key").applyInArrow(_searched(words, percent), "a bigint, b bigint").distinct())
+    blocks = F.ceil(F.col("shingles") / BLOCK_SHINGLES)
+    large = members.where(F.col("size") > SMALL_GROUP).select("key", "digest", blocks.alias("blocks"), F.pmod(F.xxhash64("digest", F.lit(1)), blocks).alias("block"))
+    # A block meets itself where it is the only one, else each other block.
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), F.col("block")))
+    dealt = large.withColumn("other", F.explode(other)).select("key", "digest", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    near = cut(dealt.join(texts, "digest").groupBy("key", "one", "two").applyInArrow(_searched(words, percent), "a bigint, b bigint").distinct())
     left = cut(apart(members.where(F.col("size") <= SMALL_GROUP), None if near.isEmpty() else components(near)))
     last = verified(left.join(left.select("key", *second), "key").where(fits & (F.col("digest") < F.col("digest2")) & (F.col("root") != F.col("root2"))).select(*pair).distinct())
     roots = components(near.union(last))

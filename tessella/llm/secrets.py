@@ -15,14 +15,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, cut
+from .common import bind, cut, unused
 
 
 @dataclass(frozen=True)
 class Rule:
     """A kind of secret: matches of pattern, left to right without overlap, of which those stay whose group has at least `least` characters.
 
-    hint is a cheaper pattern that every text with a finding matches. entropy: the group must also hold a digit and a letter.
+    hint is a cheaper pattern that every text with a finding matches.
     """
 
     kind: str
@@ -75,44 +75,66 @@ def spans(text: Column, rule: Rule) -> Column:
     return F.when(hinted, found).otherwise(F.array().cast(SPAN))
 
 
-def scan(history: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger): history's columns but for the text, with blob (its address) and spans; and the ledger to pass next time.
+def scan(
+    history: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES, blob_col: str = "blob", spans_col: str = "spans", broadcast_blobs: int = 100_000
+) -> tuple[DataFrame, DataFrame]:
+    """(findings, news): history's rows and columns with blob_col (the text's address) and spans_col; and the rows to add to the ledger.
 
-    history has a row for each version of each path; a null text counts as empty. ledger has (blob, kind, version, spans). Repeated
-    rows stay repeated; texts that are equal are scanned once. Spans are sorted by start, then by the rules' order.
+    history has a row for each version of each path; a null text counts as empty. ledger has (blob, kind, version, spans), one row for each blob and
+    rule version that was ever scanned. Repeated rows stay repeated; texts that are equal are scanned once. Spans are sorted by start, then by the
+    rules' order. Columns of history called blob_col or spans_col are replaced; pass other names to keep them.
+
+    With a ledger, addresses are compared first, and only texts of blobs that lack a rule version are shuffled and scanned.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    addressed = history.withColumn("_blob", F.sha2(text, 256))
-    blobs = addressed.select("_blob", text.alias("_text")).groupBy("_blob").agg(F.first("_text").alias("_text"))
+    b_, t_, s_ = unused(history, "_blob", "_text", "_spans")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    addressed = history.withColumn(b_, F.sha2(text, 256))
+    texts = addressed.select(F.col(b_).alias("blob"), text.alias("text"))
+    pair = lambda kind, version: F.concat_ws(":", kind, version)
+    wanted = [f"{r.kind}:{r.version}" for r in rules]
     known = None
-    if ledger is not None:
-        known = ledger.where(F.concat_ws(":", "kind", "version").isin([f"{r.kind}:{r.version}" for r in rules]))
-        seen = known.groupBy(F.col("blob").alias("_blob")).agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("_seen"))
-        blobs = blobs.join(seen, "_blob", "left")
+    if ledger is None:
+        blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))
+    else:
+        known = ledger.where(pair("kind", "version").isin(wanted)).select("blob", "kind", "version", "spans").dropDuplicates(["blob", "kind", "version"])
+        seen = known.groupBy("blob").agg(F.collect_set(pair("kind", "version")).alias("seen"))
+        lacking = texts.select("blob").distinct().join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>"))).where(F.size("seen") < len(wanted))
+        lacking = cut(lacking)
+        few = lacking.count() <= broadcast_blobs
+        blobs = texts.join(F.broadcast(lacking.select("blob")) if few else lacking.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+        blobs = blobs.join(lacking, "blob")
 
     def unseen(r: Rule) -> Column:
-        found = spans(F.col("_text"), r)
-        if ledger is None:
-            return found
-        return F.when(F.array_contains(F.coalesce("_seen", F.array().cast("array<string>")), f"{r.kind}:{r.version}"), F.lit(None)).otherwise(found)
+        found = spans(F.col("text"), r)
+        return found if known is None else F.when(F.array_contains("seen", f"{r.kind}:{r.version}"), F.lit(None)).otherwise(found)
 
     # What a scan finds is written down once, for the findings and for the ledger. The join back then meets files instead of an
     # aggregate, so that Spark can split the task of a blob that very many paths share.
-    fresh = cut(blobs.select(F.col("_blob").alias("blob"), *(unseen(r).alias(r.kind) for r in rules)))
-    order = {r.kind: i for i, r in enumerate(rules)}
-    lists = [F.coalesce(F.col(r.kind), F.array().cast(SPAN)) for r in rules]
-    if known is not None:
-        old = known.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("_old"))
-        found = fresh.join(old, "blob", "left").select("blob", F.concat(F.coalesce("_old", F.array().cast(SPAN)), *lists).alias("spans"))
+    fresh = cut(blobs.select("blob", *(unseen(r).alias(r.kind) for r in rules)))
+    rows = fresh.select("blob", F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules))).alias("row")).select("blob", "row.*").where("spans is not null")
+    if known is None:
+        found = fresh.select("blob", F.concat(*(F.col(r.kind) for r in rules)).alias("spans"))
     else:
-        found = fresh.select("blob", F.concat(*lists).alias("spans"))
-    rank = F.create_map(*(F.lit(x) for k, i in order.items() for x in (k, i)))
-    in_order = F.transform(F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+        both = known.unionByName(rows).where(F.size("spans") > 0)
+        found = both.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    rank = F.create_map(*(F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)))
+    ranked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    in_order = F.transform(F.array_sort(ranked), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     # Blobs without findings need no row to be joined with: there are few findings, whatever the input.
-    found = found.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), in_order.alias("spans"))
-    findings = addressed.drop("spans", "blob").join(found, "_blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN))).withColumnRenamed("_blob", "blob")
-    rows = fresh.select("blob", F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules))).alias("row")).select("blob", "row.*").where("spans is not null")
-    return findings, rows if ledger is None else ledger.select("blob", "kind", "version", "spans").unionByName(rows)
+    found = found.where(F.size("spans") > 0).select(F.col("blob").alias(b_), in_order.alias(s_))
+    out = addressed.join(found, b_, "left").withColumn(s_, F.coalesce(s_, F.array().cast(SPAN)))
+    kept = [c for c in history.columns if c.lower() not in (blob_col.lower(), spans_col.lower())]
+    return out.select(*(F.col(f"`{c}`") for c in kept), F.col(b_).alias(blob_col), F.col(s_).alias(spans_col)), rows
+
+
+def scan_with_ledger(history: DataFrame, path: str, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The findings of scan, by the ledger at path (Parquet; made if it is not there), to which what was scanned is added."""
+    spark = history.sparkSession
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+    findings, rows = scan(history, spark.read.parquet(path) if there else None, text_col, rules)
+    rows.write.mode("append").parquet(path)
+    return findings
 
 
 def masked(text: Column, found: Column, mask: str = "[secret]") -> Column:
@@ -131,8 +153,9 @@ def masked(text: Column, found: Column, mask: str = "[secret]") -> Column:
 
 def redacted(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, length_col: str | None = None) -> DataFrame:
     """df with the secrets in its texts masked; all rows and columns stay. Null texts stay null. length_col, if given and there, is set to the new length where a text was changed."""
-    findings, _ = scan(df, None, text_col, rules)
-    out = findings.withColumn("_found", F.col("spans")).withColumn(text_col, masked(F.col(text_col), F.col("_found")))
+    blob, found = unused(df, "_address", "_found")
+    out, _ = scan(df, None, text_col, rules, blob, found)
+    out = out.withColumn(text_col, masked(F.col(f"`{text_col}`"), F.col(found)))
     if length_col in df.columns:
-        out = out.withColumn(length_col, F.when(F.size("_found") > 0, F.length(text_col).cast(df.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*df.columns)
+        out = out.withColumn(length_col, F.when(F.size(found) > 0, F.length(text_col).cast(df.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns))

@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut
 from ..operators.graph import roots as components
+from .common import cut, row_key, unused
 
 #: Bits in which linked fingerprints may differ.
 DISTANCE = 2
@@ -50,7 +50,8 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint", words: int = 3) -> DataFrame:
-    """The columns of df but for its text, with the fingerprint (long) appended. A null text counts as empty."""
+    """The columns of df but for its text, with the fingerprint (long) appended as out_col; a column of that name is replaced. A null text counts as empty."""
+    df = df.drop(out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +224,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     the same id but other contents apart. A null text counts as empty; texts without words have fingerprint 0 and are
     linked like any other.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(*df.columns).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(df).alias("row_key"), F.col(text_col).cast("string").alias("text"))
     rows = cut(with_fingerprint(rows, "text", words=words))
     prints = cut(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")))
     roots = components(links(prints.select("fp")))
@@ -247,6 +248,7 @@ def kept(df: DataFrame, of_rows: DataFrame, id_col: str) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint").cast("string")))
     none = F.lit(-(2**63))
-    best = of_rows.groupBy(group.alias("group")).agg(F.min(rank).alias("best")).select(F.coalesce("best.doc_id", none).alias("_id"), F.col("best.row_key").alias("_key")).distinct()
-    keyed = df.select("*", F.coalesce(F.col(id_col).cast("bigint"), none).alias("_id"), F.xxhash64(*df.columns).alias("_key"))
-    return keyed.join(best, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*df.columns)
+    of_id, key = unused(df, "_id", "_key")
+    best = of_rows.groupBy(group.alias("group")).agg(F.min(rank).alias("best")).select(F.coalesce("best.doc_id", none).alias(of_id), F.col("best.row_key").alias(key)).distinct()
+    keyed = df.select("*", F.coalesce(F.col(id_col).cast("bigint"), none).alias(of_id), row_key(df).alias(key))
+    return keyed.join(best, [of_id, key], "left_semi").dropDuplicates([of_id, key]).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -61,9 +61,10 @@ def test_classes_of_odd_rows(spark):
     assert simhash.classes(docs.where("false")).count() == 0 and simhash.keep_one(docs.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("group", [48, 3])
-def test_stage_joins_near_copies_of_five_word_shingles(spark, monkeypatch, group):
+@pytest.mark.parametrize("group,shingles", [(48, 1_000_000), (3, 1_000_000), (3, 1000)])
+def test_stage_joins_near_copies_of_five_word_shingles(spark, monkeypatch, group, shingles):
     monkeypatch.setattr(overlap, "SMALL_GROUP", group)
+    monkeypatch.setattr(overlap, "BLOCK_SHINGLES", shingles)
     rng = np.random.default_rng(5)
     rows = []
     for base in range(8):
@@ -117,6 +118,38 @@ def test_mixing_odd_rows(spark):
     assert mixing.copies(docs.where("false"), MIX).count() == 0
 
 
+def test_mixing_leaves_out_weight_zero(spark):
+    rows = [(i, "a b c", "en" if i % 2 else "de", f"src{i % 4}", {"k": i}, i, 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, more map<string,int>, _id int, _key int")
+    plan = mixing.Plan(lang_weights={"de": 0}, per_mille=None, tokens=1000, epochs=1)
+    got = mixing.mixed(docs, plan)
+    assert got.columns == docs.columns and {r.lang for r in got.collect()} == {"en"} and got.count() == 20
+    assert mixing.mixed(docs, mixing.Plan(other=0)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.Plan(other=-1)
+
+
+def test_repeated_rows_and_ties_of_the_mix(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "src1")] * 5 + [(2, "a b", "en", "src1")], "doc_id long, text string, lang string, source string")
+    got = mixing.copies(docs, mixing.Plan(per_mille=500, epochs=1)).collect()
+    assert sum(r.copies for r in got) == 3 and len(got) == 6
+    assert mixing.mixed(docs, mixing.Plan(per_mille=500, epochs=1)).count() == 3
+
+
+def test_keep_one_with_odd_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", {"k": 1}, 5, 6, 7), (2, "a b c d", {"k": 2}, 5, 6, 7), (2, "a b c d", {"k": 2}, 5, 6, 7)], "doc_id long, text string, more map<string,int>, _id int, _key int, fingerprint int")
+    for keep in (simhash.keep_one, overlap.keep_one):
+        got = keep(docs).collect()
+        assert [tuple(r) for r in got] == [(1, "a b c d", {"k": 1}, 5, 6, 7)]
+    assert simhash.with_fingerprint(docs).columns.count("fingerprint") == 1
+
+
+def test_half_of_the_texts_are_empty(spark):
+    docs = spark.createDataFrame([(i, "" if i % 2 else f"word{i} other{i} third{i} more{i}") for i in range(400)], "doc_id long, text string")
+    got = simhash.classes(docs).collect()
+    assert len(got) == 400 and {r.component_id for r in got if r.doc_id % 2} == {1}
+
+
 def test_search(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((900, 16))
@@ -152,6 +185,31 @@ def test_search_counts_a_repeated_row_once(spark):
     assert sorted(r.vec_id for r in got) == sorted({r[0] for r in rows} - {5})
 
 
+def test_recall_over_several_shards(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((10_000, 32))
+    vectors = spark.createDataFrame([(i, [float(v) for v in r], "clash") for i, r in enumerate(x)], "vec_id long, embedding array<double>, shard string")
+    got = ann.search(vectors, vectors.where("vec_id % 100 = 0"), 20, ann.Settings(shard_rows=3000)).collect()
+    assert len(got) == 2000
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, ids in found.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(ids & set(np.argsort(-s)[:20].tolist()))
+    assert hits / 2000 >= 0.9
+
+
+def test_a_hot_id_and_a_hot_row_are_dealt_over_shards(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1, [float(v) for v in r]) for r in rng.standard_normal((300, 8))] + [(2, [1.0] * 8)] * 300 + [(i, [float(v) for v in rng.standard_normal(8)]) for i in range(3, 300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(vectors, spark.createDataFrame([(2, [1.0] * 8)], "vec_id long, embedding array<double>"), 1000, ann.Settings(shard_rows=100)).collect()
+    assert sorted(r.vec_id for r in got) == sorted([1] * 300 + [*range(3, 300)])
+
+
 def test_quality(spark, small):
     sf = small.replace("0.001", "0.01")
     got = op2_quality_classifier(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").collect()

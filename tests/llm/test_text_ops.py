@@ -43,6 +43,14 @@ def test_rules(docs):
     assert rules.filtered(docs).columns == docs.columns
 
 
+def test_rules_odd_tables(spark):
+    odd = spark.createDataFrame([("the a of " * 40, "x"), (None, None)], "text string, _rules string")
+    assert rules.filtered(odd).columns == odd.columns and rules.filtered(odd.where("false")).count() == 0
+    long = "the word is " + " ".join(f"w{i} of" for i in range(300_000))
+    m = rules.scored(spark.createDataFrame([(long,)], "text string")).select("rules.*").first()
+    assert m.kept and m.metrics.n_words == 600_003 and m.metrics.n_repeat_words == 0
+
+
 def test_many_repeats(spark):
     words = [random.Random(i).choice("abcdefgh") for i in range(600)]
     text = " ".join(words)
@@ -67,17 +75,35 @@ def test_secrets(docs, spark):
     assert any(s.kind == "github" for r in rows for s in r.spans) and any(s.kind == "pem" for r in rows for s in r.spans)
     # A second scan with the ledger finds the same and adds nothing.
     kept = spark.createDataFrame(ledger.collect(), ledger.schema)
-    again, ledger2 = secrets.scan(docs, kept)
-    assert sorted(map(str, again.select("doc_id", "spans").collect())) == sorted(map(str, found.select("doc_id", "spans").collect()))
-    assert ledger2.count() == kept.count()
+    for most in (0, 1000):
+        again, news = secrets.scan(docs, kept, broadcast_blobs=most)
+        assert sorted(map(str, again.select("doc_id", "spans").collect())) == sorted(map(str, found.select("doc_id", "spans").collect()))
+        assert news.count() == 0
     # Only a rule's new version is scanned anew.
     newer = tuple(secrets.Rule("hex", 2, r"[0-9a-f]{40,}", 0, 40) if x.kind == "hex" else x for x in secrets.RULES)
-    _, ledger3 = secrets.scan(docs, kept, rules=newer)
-    assert ledger3.count() == kept.count() + kept.select("blob").distinct().count()
+    _, news = secrets.scan(docs, kept, rules=newer)
+    assert {tuple(r) for r in news.groupBy("kind", "version").count().collect()} == {("hex", 2, kept.select("blob").distinct().count())}
     for r in secrets.redacted(docs).collect():
         assert r.text is None or not [s for s in base_spans(r.text) if s[2] != "assign"]
 
 
+def test_secrets_keep_columns_of_their_names(spark):
+    odd = spark.createDataFrame([(1, "password=12345678", "a", 2, "b", "c"), (2, None, None, None, None, None)], "doc_id long, text string, spans string, blob int, _blob string, _found string")
+    got = {r.doc_id: r for r in secrets.redacted(odd, length_col="blob").collect()}
+    assert tuple(got[1]) == (1, "[secret]", "a", 8, "b", "c") and tuple(got[2]) == (2, None, None, None, None, None)
+    assert secrets.redacted(odd).schema == odd.schema
+    assert secrets.redacted(odd.where("false")).count() == 0 and secrets.scan(odd.where("false"))[1].count() == 0
+    text = "x" * 1_200_000 + " token=abcdefgh1 " + "deadbeef" * 5
+    assert [s.kind for s in secrets.scan(spark.createDataFrame([(text,)], "text string"))[0].first().spans] == ["assign", "hex"]
+
+
+def test_ledger_on_disk(spark, docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    first = sorted(map(str, secrets.scan_with_ledger(docs, path).select("doc_id", "spans").collect()))
+    rows = spark.read.parquet(path).count()
+    assert sorted(map(str, secrets.scan_with_ledger(docs, path).select("doc_id", "spans").collect())) == first and spark.read.parquet(path).count() == rows
+
+
 def test_bpe(docs):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for r in bpe.decode(bpe.encode(docs, byte_bpe(), with_count="n"), byte_bpe()).collect():
@@ -124,6 +150,113 @@ def test_html_keeps_sibling_articles():
     assert html.extract(page) == "\n\n".join([*said("one"), *said("two")])
 
 
+def neutral(page):
+    """The page without any name that tells what its parts are."""
+    page = re.sub(r"<(/?)(article|nav|aside|header|footer|section|main)\b", r"<\1div", page)
+    return re.sub(r'\sclass="[^"]*"', "", page)
+
+
+def test_density_alone_finds_the_article(spark, small):
+    pages = [r.html for r in spark.read.parquet(f"{small.replace('0.001', '0.01')}/pages.parquet").select("html").collect()]
+    extra = []
+    for page in pages:
+        want, got = html.extract(page), html.extract(neutral(page))
+        assert set(want.split("\n\n")) <= set(got.split("\n\n"))
+        extra.append((len(got) - len(want)) / max(len(want), 1))
+    assert sorted(extra)[len(extra) // 2] < 0.02
+
+
+def slow_choice(page):
+    """The text that density chooses on a page of divs, paragraphs and links, by plain recursion over a tree of the standard library's parser."""
+    from html.parser import HTMLParser
+    from math import e, log
+
+    class Builder(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.top = {"tag": "body", "items": []}
+            self.open = [self.top]
+
+        def handle_starttag(self, tag, attrs):
+            node = {"tag": tag, "items": []}
+            self.open[-1]["items"].append(node)
+            self.open.append(node)
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            self.open[-1]["items"].append(data)
+
+    builder = Builder()
+    builder.feed(page)
+    nodes = lambda x: [y for y in x["items"] if not isinstance(y, str)]
+    chars = lambda x: sum(len(y) if isinstance(y, str) else chars(y) for y in x["items"])
+    tags = lambda x: sum(1 + tags(y) for y in nodes(x))
+    link_chars = lambda x: chars(x) if x["tag"] == "a" else sum(map(link_chars, nodes(x)))
+    link_tags = lambda x: sum((y["tag"] == "a") + link_tags(y) for y in nodes(x))
+    ratio = link_chars(builder.top) / max(chars(builder.top), 1)
+
+    def density(x):
+        c, t, lc = chars(x), tags(x), link_chars(x)
+        if not c:
+            return 0.0
+        base = log(c / max(c - lc, 1) * lc + ratio * c + e)
+        if not t and not lc:
+            return c * max(log(c), 1.0) / base
+        return c / max(t, 1) * max(log(c / max(lc, 1) * max(t, 1) / max(link_tags(x), 1)), 0.0) / base
+
+    ways = []
+
+    def walk(x, way):
+        ways.append([x, *way])
+        for y in nodes(x):
+            walk(y, [x, *way])
+
+    walk(builder.top, [])
+    best = max(ways, key=lambda w: sum(map(density, nodes(w[0]))))
+    while best[0]["tag"] in ("a", "p"):
+        best = best[1:]
+    if len(best) == 1:
+        return None
+    core, limit = best[0], min(map(density, best))
+    text = lambda x: [x] if isinstance(x, str) else [z for y in x["items"] for z in text(y)]
+    out = []
+    for y in best[1]["items"]:
+        if y is core or (2 * link_chars(y) <= chars(y) and density(y) >= max(limit, density(core) / (2 if tags(y) else 1))):
+            out += text(y)
+    return out if len(best) == 2 else None
+
+
+def test_choice_is_that_of_plain_recursion():
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    tried = 0
+    for _ in range(300):
+        parts = []
+        for _ in range(rnd.randint(2, 5)):
+            kind = rnd.randint(0, 3)
+            if kind == 0:
+                parts.append("<div>" + "".join(f"<a>{words(1)}</a>" for _ in range(rnd.randint(2, 6))) + "</div>")
+            elif kind == 1:
+                parts.append(f"<div>{words(rnd.randint(2, 30))}</div>")
+            else:
+                parts.append("<div>" + "".join(f"<p>{words(rnd.randint(1, 60))}</p>" for _ in range(rnd.randint(1, 8))) + "</div>")
+        page = "".join(parts)
+        want = slow_choice(page)
+        if want is not None:
+            tried += 1
+            assert html.extract(f"<html><body>{page}</body></html>").split("\n\n") == want, page
+    assert tried > 100
+
+
+def test_html_empty_tables_and_long_pages(spark):
+    odd = spark.createDataFrame([(1, "<article><p>" + "word " * 400_000 + "</article>", "x", "y")], "page_id long, html string, n_chars string, _html string")
+    assert html.extracted(odd, "html", "text", "page_id", "_html").select("n_chars", "_html").collect() == [(1_999_999, "y")]
+    assert html.extracted(odd.where("false"), "html", "text", "page_id").count() == 0
+
+
 def test_stage_keeps_very_long_texts(spark):
     import corpus_pipeline
 
