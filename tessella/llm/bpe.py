@@ -22,6 +22,7 @@ import unicodedata
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,12 @@ from .common import per_batch
 
 #: Fixed value: the word pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words that a worker remembers; beyond, it forgets them all and starts anew.
+#: Words of a generation of the cache. When the younger one is full, it becomes the older, and words of that which were not met since are forgotten.
 CACHE_WORDS = 150_000
+#: Words longer than this many characters are not remembered.
+CACHE_CHARS = 64
 _NEVER = np.iinfo(np.int64).max
+_COUNT, _DECIMAL, _RAW = map(itemgetter, range(3))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,6 +63,26 @@ def latin_pattern() -> re.Pattern:
 _NOT_LATIN = re.compile("[^\x00-\x1b\x20-\u024f]")
 
 
+class Memory:
+    """What is known of words, in two generations: words that are met often stay, others are forgotten."""
+
+    def __init__(self, learn):
+        self.learn, self.young, self.old = learn, {}, {}
+
+    def of(self, words: set[str]) -> dict:
+        """What is known of each word, or is now learnt."""
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        young.update((w, old[w]) for w in words & old.keys())
+        new = self.learn(words - young.keys())
+        if len(max(new, key=len, default="")) <= CACHE_CHARS:
+            young.update(new)
+            return young
+        young.update((w, x) for w, x in new.items() if len(w) <= CACHE_CHARS)
+        return {w: new[w] if w in new else young[w] for w in words}
+
+
 class Vocabulary:
     """The tables of one tokenizer file, its pair test and its two directions."""
 
@@ -94,10 +118,15 @@ class Vocabulary:
         self.made[[r for r, _ in self.merge.values()]] = [z for _, z in self.merge.values()]
         self.pattern, self.latin = regex.compile(PATTERN), latin_pattern()
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.verdicts: dict[int, bool] = {}
-        self.cache: dict[str, list[int]] = {}
+        self.known_pairs, self.known_fine = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.words = Memory(self.learned)
+        self.forms = Memory(lambda words: {w: self.form(ids) for w, ids in self.learned(words).items()})
         self.greedy = self._reachable()
-        self.longest = max(map(len, self.greedy))
+        #: The longest token by its first four bytes, where that has any; others have three bytes at most.
+        self.reach: dict[bytes, int] = {}
+        for token in self.greedy:
+            if len(token) > 3:
+                self.reach[token[:4]] = max(self.reach.get(token[:4], 4), len(token))
 
     def _reachable(self) -> dict[bytes, int]:
         """Tokens that their own bytes encode to; only those can be proposed."""
@@ -191,47 +220,78 @@ class Vocabulary:
 
     def proposed(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        out, at, n, known, longest = [], 0, len(word), self.greedy, self.longest
+        whole = self.greedy.get(word)
+        if whole is not None:
+            return [whole]
+        out, at, n, known, reach = [], 0, len(word), self.greedy, self.reach
         while at < n:
-            end = min(n, at + longest)
+            end = min(n, at + reach.get(word[at : at + 4], 3))
             while (i := known.get(word[at:end])) is None:
                 end -= 1
             out.append(i)
             at = end
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Put the encodings of words into the cache."""
+    def learned(self, words: set[str]) -> dict[str, list[int]]:
+        """The encodings of words that are not remembered."""
         words = list(words)
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        guess = [self.proposed(w) for w in raw]
-        sizes = np.array([len(g) for g in guess], np.int64)
+        guess = [*map(self.proposed, raw)]
+        sizes = np.fromiter(map(len, guess), np.int64, len(guess))
         flat = np.fromiter(chain.from_iterable(guess), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(words)), sizes)
         inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, np.int64)
         pairs, where = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
-        new = np.array([p for p in pairs.tolist() if p not in self.verdicts], np.int64)
-        self.verdicts.update(zip(new.tolist(), self.compatible(new >> 32, new & 0xFFFFFFFF).tolist()))
-        fine = np.array([self.verdicts[p] for p in pairs.tolist()], bool)
+        fine = self.judged(pairs)
         failed = np.unique(owner[inner[~fine[where]]]).tolist() if len(inner) else []
         for i, ids in zip(failed, self.merged([raw[i] for i in failed])):
             guess[i] = [*map(self.numbers.__getitem__, ids)]
-        self.cache.update(zip(words, guess))
+        return dict(zip(words, guess))
+
+    def judged(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether each pair of neighbours (one number, in order) is compatible; what was found before is remembered, for as many pairs as the cache has words."""
+        at = np.minimum(np.searchsorted(self.known_pairs, pairs), max(len(self.known_pairs) - 1, 0))
+        old = self.known_pairs[at] == pairs if len(self.known_pairs) else np.zeros(len(pairs), bool)
+        fine = np.zeros(len(pairs), bool)
+        fine[old] = self.known_fine[at[old]]
+        new = pairs[~old]
+        fine[~old] = self.compatible(new >> 32, new & 0xFFFFFFFF)
+        if len(self.known_pairs) > CACHE_WORDS:
+            self.known_pairs, self.known_fine = pairs, fine
+        elif len(new):
+            both, first = np.unique(np.concatenate([self.known_pairs, new]), return_index=True)
+            self.known_pairs, self.known_fine = both, np.concatenate([self.known_fine, fine[~old]])[first]
+        return fine
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        """Token ids of each text. Special tokens' own strings become their ids; a null or empty text has none."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-            self.verdicts.clear()
+    def form(self, ids: list[int]) -> tuple[int, str, bytes]:
+        """What digests need of token ids: their number, their decimal form, and the bytes they decode to."""
+        return len(ids), ",".join(map(self.decimal.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids))
+
+    def cut_up(self, texts: list[str | None]) -> tuple[list[list[tuple[int, list[str]]]], set[str]]:
+        """For each text its parts: a special token's id, or -1 and the words of a stretch between; and the set of all words. A null text is empty."""
         parts: list[list[tuple[int, list[str]]]] = []
         for text in texts:
             pieces = self.cut.split(text) if text and self.cut else [text or ""]
             parts.append([(self.special[p], []) if i % 2 else (-1, (self.pattern if _NOT_LATIN.search(p) else self.latin).findall(p)) for i, p in enumerate(pieces)])
-        words = set(chain.from_iterable(w for doc in parts for _, w in doc))
-        self.learn(words - self.cache.keys())
-        known = self.cache.__getitem__
+        return parts, set(chain.from_iterable(w for doc in parts for _, w in doc))
+
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        """Token ids of each text. Special tokens' own strings become their ids; a null or empty text has none."""
+        parts, words = self.cut_up(texts)
+        known = self.words.of(words).__getitem__
         return [[*chain.from_iterable([one] if one >= 0 else chain.from_iterable(map(known, ws)) for one, ws in doc)] for doc in parts]
 
+    def digest_batch(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """For each text the number of its tokens and the SHA-256 of their comma-joined ids and of the text they decode to, word by word: no list of ids is made."""
+        parts, words = self.cut_up(texts)
+        known = self.forms.of(words).__getitem__
+        out = []
+        for doc in parts:
+            forms = [*chain.from_iterable([self.form([one])] if one >= 0 else map(known, ws) for one, ws in doc)]
+            decoded = b"".join(map(_RAW, forms)).decode("utf-8", "replace").encode()
+            out.append((sum(map(_COUNT, forms)), hashlib.sha256(",".join(map(_DECIMAL, forms)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of token ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -299,12 +359,8 @@ def digests(df: DataFrame, definition: bytes, id_col: str = "doc_id", text_col:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = _vocabulary(definition)
-        counts, of_ids, of_text = [], [], []
-        for group in _groups(batch.column(1).to_pylist()):
-            for ids in v.encode_batch(group):
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(v.decimal.__getitem__, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(v.decode(ids).encode()).hexdigest())
+        found = [x for group in _groups(batch.column(1).to_pylist()) for x in v.digest_batch(group)]
+        counts, of_ids, of_text = zip(*found) if found else ((), (), ())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     slim = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
