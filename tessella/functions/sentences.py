@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,11 @@ VERTICAL_READ = {"above": 0, "below": 1, "aligned vertically with": 2, "vertical
 SYNONYMS = {"happened": ("occurred",), "moved": ("shifted", "travelled"), "relative": ("compared",), "same": ("identical",), "scene": ("picture",)}
 #: Words that typing errors are put right to.
 VOCABULARY = (
-    "Scene Event Pair At This the as at of scene motion event events red green blue yellow magenta cyan circle star triangle square pentagon hexagon shape moved translated "
-    "within from to quadrant through top bottom left right above below aligned horizontally vertically with relative center same time happened and is"
-).split()
+    "Scene", "Event", "Pair", "At", "This", "the", "as", "at", "of", "scene", "motion", "event", "events", "red", "green", "blue", "yellow",
+    "magenta", "cyan", "circle", "star", "triangle", "square", "pentagon", "hexagon", "shape", "moved", "translated", "within", "from", "to",
+    "quadrant", "through", "top", "bottom", "left", "right", "above", "below", "aligned", "horizontally", "vertically", "with", "relative", "center",
+    "same", "time", "happened", "and", "is",
+)
 #: The keys next to each letter's on a keyboard.
 KEYBOARD = {
     "q": "12wsa", "w": "q23edsa", "e": "w34rfds", "r": "e45tfd", "t": "r56ygf", "y": "67uhgt", "u": "78ijhy", "i": "89okju", "o": "90plki", "p": "0-[';lo", "a": "qwsz<", "s": "aqwedxz", "d": "erfcxsw",
@@ -189,9 +193,77 @@ def corrected_words(words: DataFrame, word: str, out: str = "corrected") -> Data
     return fixed.withColumn(out, F.when(plain == "translated", F.lit("moved")).otherwise(unsynonym(plain))).drop("_word")
 
 
+def _never(rate: float) -> bool:
+    return not math.isfinite(rate) or rate <= 0
+
+
+def synonym_candidate(raw: Column) -> Column:
+    """A word as the thesaurus may hold it: trimmed and small; null for anything but ASCII letters."""
+    word = F.lower(F.trim(raw))
+    return F.when(word.rlike("^[a-z]+$"), word)
+
+
+def normalised(spark: SparkSession, lines: DataFrame, line: str = "line", out: str = "normal") -> DataFrame:
+    """lines with their words put right: typing errors first, then synonyms; `translated` is `moved`. What is not a word stays.
+
+    The table of corrections, whose size depends on the vocabulary only, is one broadcast row.
+    """
+    entries = F.map_from_entries(F.collect_list(F.struct("observed", "word"))).alias("_fixes")
+    fixes = corrections(spark).agg(entries)
+    pieces = F.regexp_extract_all(F.col(line), F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
+
+    def one(piece: Column) -> Column:
+        plain = F.coalesce(F.try_element_at(F.col("_fixes"), piece), piece)
+        return F.when(plain == "translated", F.lit("moved")).otherwise(unsynonym(plain))
+
+    return lines.crossJoin(F.broadcast(fixes)).withColumn(out, F.array_join(F.transform(pieces, one), "")).drop("_fixes")
+
+
+def read_header(line: Column) -> dict[str, Column]:
+    """The scene's id and its number of events; nulls for lines of another form."""
+    form = r"^Scene ([0-9a-f]{32}): (\d+) motion events\.$"
+    g = lambda i: F.when(line.rlike(form), F.regexp_extract(line, form, i))
+    return {"scene_id": g(1), "events": g(2).cast("bigint")}
+
+
+def decoded(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """(scene_index, kind, place, what): the meaning of each scene's lines (scene_index, line), whatever their order and surface.
+
+    kind is header, event or pair; place its index; what a struct of all that was read, with nulls for what its kind lacks. Lines that can't be read have kind `unread`.
+    """
+    rows = normalised(spark, lines)
+    normal = F.col("normal")
+    event, pair, head = read_event(normal), read_pair(normal), read_header(normal)
+    kind = F.when(head["events"].isNotNull(), "header").when(event["shape_id"].isNotNull() & event["end_quadrant"].isNotNull(), "event").when(pair["horizontal"].isNotNull() & pair["vertical"].isNotNull(), "pair").otherwise("unread")
+    rows = rows.withColumn("kind", kind)
+    is_ = lambda k, c: F.when(F.col("kind") == k, c)
+    what = F.struct(
+        head["scene_id"].alias("scene_id"), head["events"].alias("events"), is_("event", event["shape_id"]).alias("shape_id"), is_("event", event["start_quadrant"]).alias("start_quadrant"),
+        is_("event", event["end_quadrant"]).alias("end_quadrant"), is_("event", F.array_sort(event["peers"])).alias("peers"), is_("pair", pair["event_index"]).alias("event_index"),
+        is_("pair", pair["first"]).alias("first"), is_("pair", pair["second"]).alias("second"), is_("pair", pair["horizontal"]).alias("horizontal"), is_("pair", pair["vertical"]).alias("vertical"),
+    )
+    place = F.when(F.col("kind") == "event", event["event_index"]).when(F.col("kind") == "pair", pair["pair_index"]).otherwise(F.lit(0).cast("bigint"))
+    return rows.select("scene_index", "kind", place.alias("place"), what.alias("what"))
+
+
+def text_faults(meaning: DataFrame) -> DataFrame:
+    """(scene_index, fault): scenes whose decoded lines don't make a text: lines that can't be read, not one header, gaps or repeats among events or pairs, another number of events than the header says."""
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    counted = meaning.groupBy("scene_index").agg(
+        F.count_if(F.col("kind") == "unread").alias("unread"), F.count_if(F.col("kind") == "header").alias("headers"), F.max("what.events").alias("said"),
+        *(x.alias(f"{kind}_{name}") for kind in ("event", "pair") for name, x in (("n", F.count(of(kind, F.lit(1)))), ("distinct", F.countDistinct(of(kind, F.col("place")))), ("last", F.max(of(kind, F.col("place")))), ("first", F.min(of(kind, F.col("place")))))),
+    )
+    gap = lambda kind: (F.col(f"{kind}_n") > 0) & ((F.col(f"{kind}_first") != 0) | (F.col(f"{kind}_last") != F.col(f"{kind}_n") - 1) | (F.col(f"{kind}_distinct") != F.col(f"{kind}_n")))
+    rules = F.array(
+        F.when(F.col("unread") > 0, "unread"), F.when(F.col("headers") != 1, "header"), F.when(gap("event"), "event index"), F.when(gap("pair"), "pair index"),
+        F.when(F.col("said") != F.col("event_n"), "event count"),
+    )
+    return counted.select("scene_index", F.explode(F.array_compact(rules)).alias("fault"))
+
+
 def vary(line: Column, rate: float, seed: Column) -> Column:
     """line with some of its words replaced by synonyms: each that has one, with the given probability, by a hash of seed and place."""
-    if not rate > 0:
+    if _never(rate):
         return line
     pieces = F.regexp_extract_all(line, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
 
@@ -261,7 +333,7 @@ def mistype(line: Column, rate: float, seed: Column) -> Column:
 
     The error is a letter doubled, left out, or swapped with the next, or a neighbour on the keyboard in a letter's place or beside it.
     """
-    if not rate > 0:
+    if _never(rate):
         return line
     near = F.create_map(*(F.lit(x) for item in keyboard_neighbours().items() for x in item))
     pieces = F.regexp_extract_all(line, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))

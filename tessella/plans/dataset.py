@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -37,14 +37,50 @@ def targets(of: DataFrame, config: Config, per_event: int) -> DataFrame:
     asked = identity.query_index(F.col("scene_index") + F.lit(config["master_seed"]), F.col("shape_index"), F.col("_n"))
     moves = runs.nth(events, keys, ["shape_event_index", "global_event_index"], asked)
     quadrant = g.hard_quadrant(F.col("end_x"), F.col("end_y"))
-    after = moves.select("scene_index", task("zqh").alias("task_id"), F.lit(0).alias("segment_index"), F.array(F.col("move").cast("double"), (quadrant + 1).cast("double")).alias("values"))
+    after = moves.select("scene_index", task("zqh").alias("task_id"), F.lit(0).alias("segment_index"), F.array(F.col("move").cast("double"), quadrant.cast("double")).alias("values"))
     ranks = identity.classes(of.sparkSession).select("shape_id", "class_rank")
-    moved = events.withColumn("d2", g.squared_distance(F.col("start_x"), F.col("start_y"), F.col("end_x"), F.col("end_y"))).join(F.broadcast(ranks), "shape_id")
-    largest = moved.groupBy("scene_index").agg(F.max_by("class_rank", F.struct("d2", -F.col("class_rank"))).alias("rank"))
-    most = largest.select("scene_index", F.lit("lme").alias("task_id"), F.lit(0).alias("segment_index"), F.array(F.col("rank").cast("double")).alias("values"))
+    named = of.select("scene_index", F.explode("identities").alias("s")).select("scene_index", F.concat_ws("_", "s.shape_type", "s.color").alias("shape_id")).join(F.broadcast(ranks), "shape_id")
+    least = named.groupBy("scene_index").agg(F.min("class_rank").alias("least"))
+    d2 = g.squared_distance(F.col("start_x"), F.col("start_y"), F.col("end_x"), F.col("end_y"))
+    moved = events.join(F.broadcast(ranks), "shape_id").groupBy("scene_index").agg(F.array_sort(F.collect_list(F.struct("list_pos", d2.alias("d2"), "class_rank"))).alias("moves"))
+    rank = farthest(F.coalesce("moves", F.array().cast("array<struct<list_pos:int,d2:double,class_rank:int>>")), F.col("least"))
+    most = least.join(moved, "scene_index", "left").select("scene_index", F.lit("lme").alias("task_id"), F.lit(0).alias("segment_index"), F.array(rank.cast("double")).alias("values"))
     return passages.unionByName(crossings).unionByName(after).unionByName(most)
 
 
+#: Fixed value: squared distances that differ by less are equal.
+TIE = 1e-12
+
+
+def farthest(moves: Column, fallback: Column) -> Column:
+    """The rank of the shape of the largest motion among moves (d2, class_rank, in list order); of equal motions the least rank, and fallback where nothing moves."""
+
+    def step(best: Column, m: Column) -> Column:
+        more = m["d2"] > best["d2"] + TIE
+        equal = (F.abs(m["d2"] - best["d2"]) <= TIE) & (m["class_rank"] < best["rank"])
+        return F.struct(F.when(more, m["d2"]).otherwise(best["d2"]).alias("d2"), F.when(more | equal, m["class_rank"]).otherwise(best["rank"]).alias("rank"))
+
+    return F.aggregate(moves, F.struct(F.lit(-1.0).alias("d2"), fallback.cast("int").alias("rank")), step, lambda s: s["rank"])
+
+
+def expected_tasks(spark: SparkSession, shapes: int) -> DataFrame:
+    """(task_id, place): the targets that a scene of so many shapes has, shape by shape, then that of the scene."""
+    kinds = F.array(*(F.format_string(f"{kind}%04d", "id") for kind in ("oqp", "xct", "zqh")))
+    of_shapes = spark.range(shapes).select(F.posexplode(kinds).alias("at", "task_id"), (F.col("id") * 3).alias("first")).select("task_id", (F.col("first") + F.col("at")).alias("place"))
+    return of_shapes.union(spark.range(1).select(F.lit("lme"), F.lit(3 * shapes).cast("bigint")))
+
+
+def target_lines(t: DataFrame, digits: int = 6) -> DataFrame:
+    """(scene_index, text): targets as text, task by task: its number of segments, then each segment's values."""
+    values = F.array_join(F.transform("values", lambda v: F.format_string(f"%.{digits}f", v)), ",")
+    line = F.concat(F.lit("segment="), F.col("segment_index").cast("string"), F.lit(",values="), values)
+    tasks = t.groupBy("scene_index", "task_id").agg(F.array_sort(F.collect_list(F.struct("segment_index", line.alias("line")))).alias("rows"))
+    head = F.concat(F.lit("task_id="), "task_id", F.lit(",segment_count="), F.size("rows").cast("string"))
+    body = F.array_join(F.concat(F.array(head), F.transform("rows", lambda r: r["line"])), "\n")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("task_id", body.alias("body")))), lambda r: r["body"]), "\n")
+    return tasks.groupBy("scene_index").agg(whole.alias("text"))
+
+
 def tabular(of: DataFrame, config: Config) -> DataFrame:
     """One row for each event, with the other events of its slot."""
     e = scenes.motion_events(of, config)
@@ -78,7 +114,11 @@ def text(of: DataFrame, config: Config, peers_first: bool = False, vertical_firs
     path = F.filter(quads, lambda q, i: (i == 0) | (q != F.get(quads, i - 1)))
     frame = scene["text_reference_frame"]
     relative = F.pmod(F.xxhash64("scene_index", "global_event_index", F.lit(2)), F.lit(2)) == 0 if frame == "mixed" else F.lit(frame == "relative")
-    vary = lambda line, tag: sentences.vary(line, scene["text_synonym_rate"], F.xxhash64("scene_index", "line_no", F.lit(tag)))
+
+    def vary(line: Column, tag: int) -> Column:
+        seed = F.xxhash64("scene_index", "line_no", F.lit(tag))
+        return sentences.mistype(sentences.vary(line, scene["text_synonym_rate"], seed), scene["text_typo_rate"], seed)
+
     lines = e.select("scene_index", (F.col("global_event_index") + 1).alias("line_no"), sentences.event_sentence(F.col("global_event_index"), F.col("shape_id"), path, F.col("peers"), peers_first, relative).alias("line"))
     lines = lines.withColumn("line", vary(F.col("line"), 1))
     head = of.select("scene_index", F.lit(0).cast("bigint").alias("line_no"), sentences.header(F.col("scene_id"), F.size("events")).alias("line"))
@@ -97,6 +137,11 @@ def text(of: DataFrame, config: Config, peers_first: bool = False, vertical_firs
     return head.unionByName(lines).unionByName(told.withColumn("line", vary(F.col("line"), 2)))
 
 
+def text_files(lines: DataFrame) -> DataFrame:
+    """(scene_index, text): the lines of each scene in order, each with a line end."""
+    return lines.groupBy("scene_index").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+
+
 def frames(of: DataFrame, config: Config) -> DataFrame:
     """(scene_index, time_slot, frame, shape_index, x, y): where each shape is in each frame; it stays where it was between its events."""
     scene = config["scene"]
@@ -147,27 +192,15 @@ def sound(of: DataFrame, config: Config) -> DataFrame:
 
 
 def pictures(of: DataFrame, config: Config, resolution: int | None = None) -> DataFrame:
-    """(scene_index, png): one canvas with each event's way as a line and a disc in the shape's colour at its end."""
-    size = resolution or config["scene.resolution"]
-    sx, sy = g.pixel(F.col("start_x"), F.col("start_y"), size)
-    ex, ey = g.pixel(F.col("end_x"), F.col("end_y"), size)
-    e = scenes.motion_events(of, config).select("scene_index", "global_event_index", sx.alias("sx"), sy.alias("sy"), ex.alias("ex"), ey.alias("ey"), media.rgb(F.col("color")).alias("rgb"), media.marker_radius(F.lit(size), F.col("shape_type")).alias("radius"))
-
-    def draw(key, f: pd.DataFrame) -> pd.DataFrame:
-        canvas = np.full((size, size, 3), 255, np.uint8)
-        yy, xx = np.mgrid[:size, :size]
-        for r in f.sort_values("global_event_index").itertuples():
-            n = max(abs(r.ex - r.sx), abs(r.ey - r.sy), 1)
-            t = np.arange(n + 1) / n
-            canvas[np.round(r.sy + (r.ey - r.sy) * t).astype(int), np.round(r.sx + (r.ex - r.sx) * t).astype(int)] = r.rgb
-            canvas[(xx - r.ex) ** 2 + (yy - r.ey) ** 2 <= r.radius**2] = r.rgb
-        return pd.DataFrame({"scene_index": [key[0]], "png": [codecs.write_png(canvas)]})
+    """(scene_index, png): one canvas for all events of a scene."""
+    from .pictures import canvases
 
-    return e.groupBy("scene_index").applyInPandas(draw, "scene_index bigint, png binary")
+    return canvases(of, config, resolution)
 
 
-def artifacts(of: DataFrame, config: Config, per_event: int) -> DataFrame:
-    """(kind, scene_id, name, content): the binary and text files of all scenes, as rows."""
+def artifacts(of: DataFrame, config: Config, per_event: int, with_frames: bool = False) -> DataFrame:
+    """(kind, scene_id, name, content): the binary and text files of all scenes, as rows; the frames of films only if asked for."""
+    from .pictures import comics, films
 
     def target(key, f: pd.DataFrame) -> pd.DataFrame:
         rows = [list(v) for v in f.sort_values("segment_index")["values"]]
@@ -181,8 +214,12 @@ def artifacts(of: DataFrame, config: Config, per_event: int) -> DataFrame:
     t = targets(of, config, per_event).withColumn("scene_id", identity.scene_id(F.col("scene_index")))
     out = t.groupBy("scene_id", "task_id").applyInPandas(target, schema).union(latents(of, config).mapInPandas(latent, schema))
     named = lambda df, kind, content: df.select(F.lit(kind).alias("kind"), identity.scene_id(F.col("scene_index")).alias("scene_id"), F.lit(kind).alias("name"), F.col(content).cast("binary").alias("content"))
-    lines = text(of, config).groupBy("scene_index").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
-    return out.union(named(csv_lines(tabular(of, config)), "tabular", "csv")).union(named(lines, "text", "text")).union(named(sound(of, config), "sound", "wav")).union(named(pictures(of, config), "image", "png"))
+    lines = text_files(text(of, config))
+    return out.union(named(csv_lines(tabular(of, config)), "tabular", "csv")).union(named(lines, "text", "text")).union(named(sound(of, config), "sound", "wav")).union(named(comics(of, config), "image", "png")).union(_frames(films(of, config)) if with_frames else named(of.where("false").withColumn("none", F.lit("")), "video", "none"))
+
+
+def _frames(films: DataFrame) -> DataFrame:
+    return films.select(F.lit("video").alias("kind"), identity.scene_id(F.col("scene_index")).alias("scene_id"), F.format_string("frame_%06d", "frame").alias("name"), F.col("png").alias("content"))
 
 
 def materialise(of: DataFrame, config: Config, path: str, per_event: int) -> DataFrame:
