@@ -233,7 +233,8 @@ def decoded(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """
     rows = normalised(spark, lines)
     normal = F.col("normal")
-    event, pair, head = read_event(normal), read_pair(normal), read_header(normal)
+    # A scene's id may look like a misspelt word.
+    event, pair, head = read_event(normal), read_pair(normal), read_header(F.col("line"))
     kind = F.when(head["events"].isNotNull(), "header").when(event["shape_id"].isNotNull() & event["end_quadrant"].isNotNull(), "event").when(pair["horizontal"].isNotNull() & pair["vertical"].isNotNull(), "pair").otherwise("unread")
     rows = rows.withColumn("kind", kind)
     is_ = lambda k, c: F.when(F.col("kind") == k, c)

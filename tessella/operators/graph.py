@@ -170,13 +170,14 @@ def centred(values: DataFrame) -> DataFrame:
     return c.join(F.broadcast(norm), F.lit(True)).select("node", F.when(F.col("_norm") > 1e-12, F.col("x") / F.col("_norm")).otherwise(sign).alias("x"))
 
 
-def lambda2(nodes: DataFrame, edges: DataFrame, id_col: str, iterations: int = 64, seed: int = 42) -> DataFrame:
-    """An estimate of the second-least eigenvalue of the Laplacian, by power iteration from a seeded start.
+def lambda2(nodes: DataFrame, edges: DataFrame, id_col: str, iterations: int = 64, seed: int = 42, start: Column | None = None) -> DataFrame:
+    """An estimate of the second-least eigenvalue of the Laplacian, by power iteration from a seeded start, or from the given value of each node.
 
     Values stay in Spark and are cut from their lineage each round; the driver sees their mean and norm only.
     """
     edges = cut(edges.select("src", "dst"))
-    values = cut(centred(nodes.select(F.col(id_col).alias("node"), (F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 29)) - 1.0).alias("x"))))
+    seeded = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 29)) - 1.0
+    values = cut(centred(nodes.select(F.col(id_col).alias("node"), (seeded if start is None else start).cast("double").alias("x"))))
     last = None
     beta = 2 * (degrees(nodes, edges, id_col).agg(F.max("degree")).first()[0] or 0) + 1
     for _ in range(iterations):

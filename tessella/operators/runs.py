@@ -56,11 +56,11 @@ def carried(grid: DataFrame, keys: list[str], order: list[str], start: str, end:
     return grid.withColumn(out, F.coalesce(start, F.last(end, ignorenulls=True).over(w), anchor))
 
 
-def dealt(values: DataFrame, value_order: list[str], takers: DataFrame, taker_order: list[str], value: str) -> DataFrame:
-    """takers, each with one of the values: the first in order gets the least. Both sides are numbered as a whole, so this is for tables of one scene's size."""
-    a = values.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*value_order))).select("_i", value)
-    b = takers.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*taker_order)))
-    return b.join(a, "_i").drop("_i")
+def dealt(values: DataFrame, value_order: list[str], takers: DataFrame, taker_order: list[str], value: str, keys: list[str]) -> DataFrame:
+    """takers, each with one of the values of its group (keys): the first in order gets the first in order. Values or takers without a counterpart are dropped."""
+    a = values.withColumn("_i", F.row_number().over(_window(keys, value_order))).select(*keys, "_i", value)
+    b = takers.withColumn("_i", F.row_number().over(_window(keys, taker_order)))
+    return b.join(a, [*keys, "_i"]).drop("_i")
 
 
 def contiguous(df: DataFrame, keys: list[str], index: str) -> DataFrame:

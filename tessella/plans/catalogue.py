@@ -359,6 +359,25 @@ def laplacian_rayleigh(spark, sf_dir):
     return graph.rayleigh(graph.laplacian_step(graph.undirected(_knn(spark, sf_dir)), x)).select(r6(F.col("rayleigh")).alias("rayleigh"))
 
 
+_ADJ = f"""e AS ({_EDGES}), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
+ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+rows_ AS (SELECT a.i, coalesce(list(d.i ORDER BY d.i) FILTER (d.i IS NOT NULL), []) AS near FROM ids a LEFT JOIN b ON b.src = a.vec_id LEFT JOIN ids d ON d.vec_id = b.dst GROUP BY a.i),
+g AS (SELECT list(near ORDER BY i) AS near, max(len(near)) * 2 + 1.0::DOUBLE AS beta, count(*) AS n FROM rows_)"""
+_CENTRED = "(SELECT k, list_transform(c, lambda x: x / norm) AS v FROM (SELECT k, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS norm FROM (SELECT k, list_transform(w, lambda x: x - mean) AS c FROM (SELECT k, w, list_avg(w) AS mean FROM {of}))))"
+
+
+@query(f"""WITH RECURSIVE {_ADJ}, s AS (SELECT list(x ORDER BY vec_id) AS v FROM (SELECT vec_id, ((vec_id * 37) % 101) / 101.0::DOUBLE AS x FROM embeddings)),
+it AS (SELECT k, v FROM {_CENTRED.format(of="(SELECT 0 AS k, v AS w FROM s)")} UNION ALL SELECT k + 1, v FROM {_CENTRED.format(of="""(
+  SELECT k, list_transform(range(1, n + 1), lambda i: v[i] - (len(near[i]) * v[i] - coalesce(list_sum(list_transform(near[i], lambda j: v[j])), 0)) / beta) AS w FROM it, g WHERE k < 12)""")}),
+last AS (SELECT v FROM it WHERE k = 12)
+SELECT round(list_sum(list_transform(range(1, n + 1), lambda i: v[i] * (len(near[i]) * v[i] - coalesce(list_sum(list_transform(near[i], lambda j: v[j])), 0)))) / list_sum(list_transform(v, lambda x: x * x)), 6) + 0.0 AS lambda2 FROM last, g""")
+def lambda2_from_fixed_start(spark, sf_dir):
+    """Twelve rounds of the spectral estimate from a start that SQL can make too."""
+    e = table(spark, sf_dir, "embeddings")
+    edges = graph.cut(graph.undirected(_knn(spark, sf_dir)))
+    return graph.lambda2(e, edges, "vec_id", 12, start=F.pmod(F.col("vec_id") * 37, F.lit(101)) / F.lit(101.0)).select(r6(F.col("lambda2")).alias("lambda2"))
+
+
 @query()
 def lambda2_estimate(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
@@ -398,16 +417,38 @@ def event_sentences(spark, sf_dir):
     return _sentences(spark, sf_dir).select("event_id", "line")
 
 
-@query(f"SELECT count(*) AS lines, count(*) AS same FROM ({P})")
+_READ_SQL = f"""WITH d AS (SELECT *, lag(dom) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM ({DOM}))
+SELECT event_id, left(CASE WHEN event_id < 10000 THEN lpad(event_id::VARCHAR, 4, '0') ELSE event_id::VARCHAR END, 4)::BIGINT AS said, {_SHAPE_SQL} AS shape_id, coalesce(was, dom)::BIGINT AS start_quadrant, dom::BIGINT AS end_quadrant,
+  CASE WHEN event_id % 3 = 0 THEN '1,2' ELSE '' END AS peers FROM d"""
+
+
+def _read(lines: DataFrame, line: Column) -> DataFrame:
+    got = sentences.read_event(line)
+    return lines.select(
+        "event_id", got["event_index"].alias("said"), got["shape_id"].alias("shape_id"), got["start_quadrant"].cast("bigint").alias("start_quadrant"), got["end_quadrant"].cast("bigint").alias("end_quadrant"),
+        F.array_join(F.transform(got["peers"], lambda i: i.cast("string")), ",").alias("peers"),
+    )
+
+
+@query(_READ_SQL)
 def sentence_round_trip(spark, sf_dir):
+    """What is read from event sentences; the SQL has it from the events. Four digits of an index are in a sentence."""
+    s = _sentences(spark, sf_dir)
+    return _read(s, F.col("line"))
+
+
+@query(_READ_SQL)
+def early_sentence_round_trip(spark, sf_dir):
+    """As sentence_round_trip, from sentences that tell the events of the same time first."""
     s = _sentences(spark, sf_dir)
-    # Four digits of the index are in a sentence; the reading is compared with what was put in.
-    early = sentences.event_sentence(F.col("event_id"), F.col("shape_id"), F.col("path"), F.col("peers"), peers_first=True)
-    same = F.lit(True)
-    for line in (F.col("line"), early):
-        got = sentences.read_event(line)
-        same = same & (got["shape_id"] == F.col("shape_id")) & (got["start_quadrant"] == F.get("path", 0)) & (got["end_quadrant"] == F.col("dom")) & (F.size(got["peers"]) == F.size("peers"))
-    return s.agg(F.count("*").alias("lines"), F.count_if(same).alias("same"))
+    return _read(s, sentences.event_sentence(F.col("event_id"), F.col("shape_id"), F.col("path"), F.col("peers"), peers_first=True))
+
+
+@query(_READ_SQL)
+def noise_round_trip(spark, sf_dir):
+    """As sentence_round_trip, from sentences with synonyms, whose words were put right."""
+    noisy = _sentences(spark, sf_dir).withColumn("line", sentences.vary(F.col("line"), 0.6, F.col("event_id")))
+    return _read(sentences.normalised(spark, noisy), F.col("normal"))
 
 
 @query("""SELECT pair, 'Pair ' || lpad(pair::VARCHAR, 4, '0') || ': [event ' || lpad(k::VARCHAR, 4, '0') || '] ' || a || ' is ' || h || ' ' || b || ' and is ' || v || ' ' || b || '.' AS line FROM (
@@ -578,74 +619,14 @@ def marker_sizes(spark, sf_dir):
     return spark.range(2000).select(size.alias("size"), *(media.marker_radius(size, F.lit(s)).alias(s) for s in ("triangle", "star", "circle")), media.border_width(size).alias("border"))
 
 
-@query("SELECT doc_id, 0::BIGINT AS unexpected FROM documents")
-def noise_round_trip(spark, sf_dir):
-    """Lines with synonyms are put right again; words with a typing error are right again or unchanged, never another word."""
-    seed = F.col("doc_id")
-    line = F.lit("Event 0001: red circle shape moved within bottom left quadrant relative to the scene center. This happened at the same time as Event 0002.")
-    noisy = table(spark, sf_dir, "documents").select("doc_id", sentences.mistype(sentences.vary(line, 0.5, seed), 0.3, seed).alias("noisy"), line.alias("line"))
-    words = noisy.select("doc_id", F.posexplode(F.arrays_zip(sentences.letters(F.col("noisy")).alias("a"), sentences.letters(F.col("line")).alias("b"))).alias("at", "w")).select("doc_id", F.col("w.a").alias("observed_word"), F.col("w.b").alias("meant"))
-    fixed = sentences.corrected_words(words, "observed_word")
-    wrong = (F.col("corrected") != F.col("meant")) & (F.col("corrected") != F.col("observed_word"))
-    return fixed.groupBy("doc_id").agg(F.count_if(wrong).alias("unexpected"))
-
-
-def _scenes(spark: SparkSession, count: int = 16):
-    from ..sources import scenes
-    from ..sources.config import Config
-
-    config = Config.from_toml()
-    return scenes.generate(spark, config, count), config
-
-
-@query()
-def scene_targets(spark, sf_dir):
-    from . import dataset
-
-    made, config = _scenes(spark)
-    return dataset.targets(made, config, 6).select("scene_index", "task_id", F.col("segment_index").cast("bigint").alias("segment_index"), F.transform("values", lambda v: F.round(v, 6)).alias("values"))
-
-
-@query()
-def scene_tables(spark, sf_dir):
-    from . import dataset
-
-    made, config = _scenes(spark)
-    return dataset.csv_lines(dataset.tabular(made, config))
-
-
-@query()
-def scene_sentences(spark, sf_dir):
-    from . import dataset
-
-    made, config = _scenes(spark)
-    return dataset.text(made, config)
-
-
-@query()
-def scene_frames(spark, sf_dir):
-    from . import dataset
-
-    made, config = _scenes(spark)
-    return dataset.frames(made, config).groupBy("scene_index", "shape_index").agg(F.count("*").alias("frames"), F.round(F.avg("x"), 6).alias("mean_x"))
-
-
 @query()
-def scene_sound(spark, sf_dir):
-    from . import dataset
-
-    made, config = _scenes(spark, 4)
-    return dataset.sound(made, config).select("scene_index", F.length("wav").alias("bytes"), F.sha2("wav", 256).alias("sha"))
+def typo_round_trip(spark, sf_dir):
+    """How many words of event sentences with typing errors are right again, left as they were found, or put wrong (none should be)."""
+    lines = _sentences(spark, sf_dir).select("event_id", "line", sentences.mistype(F.col("line"), 0.3, F.col("event_id")).alias("noisy"))
+    words = lines.select("event_id", F.explode(F.arrays_zip(sentences.letters(F.col("noisy")).alias("a"), sentences.letters(F.col("line")).alias("b"))).alias("w")).select("event_id", F.col("w.a").alias("observed_word"), F.col("w.b").alias("meant"))
+    fixed = sentences.corrected_words(words, "observed_word")
+    c, o, m = F.col("corrected"), F.col("observed_word"), F.col("meant")
+    return fixed.groupBy("event_id").agg(F.count_if((c == m) & (o != m)).alias("mended"), F.count_if((c == o) & (o != m)).alias("left_alone"), F.count_if((c != m) & (c != o)).alias("put_wrong"))
 
 
-@query()
-def scene_graph(spark, sf_dir):
-    from . import dataset
-
-    count = 32
-    made, config = _scenes(spark, count)
-    flat = graph.cut(graph.padded(dataset.latents(made, config), "vector").select(F.col("scene_index").alias("id"), "vector"))
-    edges = graph.cut(graph.undirected(graph.knn(flat, "id", "vector", min(config["site_graph.site_k"], count - 1))))
-    parts = graph.components(flat, edges, "id").agg(F.countDistinct("component").alias("components"))
-    stats = graph.degree_stats(graph.degrees(flat, edges, "id"))
-    return checks.graph_verdict(parts.join(stats, F.lit(True)).join(graph.lambda2(flat, edges, "id", config["site_graph.lambda2_iterations"]), F.lit(True)), config["site_graph.site_k"], config["site_graph.lambda2_min"]).withColumn("lambda2", r6(F.col("lambda2")))
+from . import scene_queries  # noqa: E402, F401  it registers its queries here

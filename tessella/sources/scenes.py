@@ -77,30 +77,32 @@ def generate(spark: SparkSession, config: Config, count: int, index: int = 0) ->
     return from_indices(spark.range(index, index + count).withColumnRenamed("id", "scene_index"), config)
 
 
-def from_indices(indices: DataFrame, config: Config) -> DataFrame:
-    """Scenes of the indices in scene_index, from a batch or a stream."""
+def one(config: Config, i: int) -> dict:
+    """The scene of an index, as a nested row (SCHEMA)."""
     scene, master = config["scene"], config["master_seed"]
+    layout, path = _stream(master + i), _stream(master + i + identity.SEED_OFFSETS["trajectory"])
+    counts = _counts(scene, layout)
+    ways = []
+    for s, c in enumerate(counts):
+        points = path.uniform(-1, 1, (c + 1, 2)).tolist()
+        ways += [{"shape_index": s, "segment": k, "x0": a[0], "y0": a[1], "x1": b[0], "y1": b[1]} for k, (a, b) in enumerate(zip(points, points[1:]))]
+    events = _events(scene, counts, layout)
+    names = _stream(master + i + 10_000_019)
+    if scene["shape_identity_assignment"] == "index_locked":
+        colours = names.permutation(6).tolist()
+        pairs = [(s, colours[s % 6]) for s in range(scene["n_shapes"])]
+    else:
+        pairs = [divmod(int(p), 6) for p in names.permutation(36)[: scene["n_shapes"]]]
+    ids = [{"shape_index": s, "shape_type": identity.SHAPES[a], "color": identity.COLOURS[b]} for s, (a, b) in enumerate(pairs)]
+    return {"scene_index": i, "scene_id": f"{i:032x}", "identities": ids, "waypoints": ways, "events": events}
 
-    def one(i: int) -> dict:
-        layout, path = _stream(master + i), _stream(master + i + identity.SEED_OFFSETS["trajectory"])
-        counts = _counts(scene, layout)
-        ways = []
-        for s, c in enumerate(counts):
-            points = path.uniform(-1, 1, (c + 1, 2)).tolist()
-            ways += [{"shape_index": s, "segment": k, "x0": a[0], "y0": a[1], "x1": b[0], "y1": b[1]} for k, (a, b) in enumerate(zip(points, points[1:]))]
-        events = _events(scene, counts, layout)
-        names = _stream(master + i + 10_000_019)
-        if scene["shape_identity_assignment"] == "index_locked":
-            colours = names.permutation(6).tolist()
-            pairs = [(s, colours[s % 6]) for s in range(scene["n_shapes"])]
-        else:
-            pairs = [divmod(int(p), 6) for p in names.permutation(36)[: scene["n_shapes"]]]
-        ids = [{"shape_index": s, "shape_type": identity.SHAPES[a], "color": identity.COLOURS[b]} for s, (a, b) in enumerate(pairs)]
-        return {"scene_index": i, "scene_id": f"{i:032x}", "identities": ids, "waypoints": ways, "events": events}
+
+def from_indices(indices: DataFrame, config: Config) -> DataFrame:
+    """Scenes of the indices in scene_index, from a batch or a stream."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([one(int(i)) for i in f["scene_index"]], columns=["scene_index", "scene_id", "identities", "waypoints", "events"])
+            yield pd.DataFrame([one(config, int(i)) for i in f["scene_index"]], columns=["scene_index", "scene_id", "identities", "waypoints", "events"])
 
     return indices.select("scene_index").mapInPandas(run, SCHEMA)
 
