@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import identity, media, sentences
-from ..operators import runs, splits
+from ..operators import checks, runs, splits
 from ..sources import codecs, scenes
 from ..sources.config import Config
 
 
-def memberships(points: DataFrame, config: Config) -> DataFrame:
-    """points with the soft quadrants q and the dominant one."""
+def memberships(points: DataFrame, config: Config, soft: bool = True) -> DataFrame:
+    """points with the soft quadrants q and the dominant one; both null where only trajectories are wanted."""
+    if not soft:
+        return points.withColumn("q", F.lit(None).cast("array<double>")).withColumn("dom", F.lit(None).cast("int"))
     p = config["positional_landscape"]
     u, v = g.axis_membership(F.col("x"), p["x_nonlinearity"], p["x_steepness"]), g.axis_membership(F.col("y"), p["y_nonlinearity"], p["y_steepness"])
     return points.withColumn("q", g.soft_quadrants(u, v)).withColumn("dom", g.dominant(F.col("q")))
@@ -48,6 +50,49 @@ def targets(of: DataFrame, config: Config, per_event: int) -> DataFrame:
     return passages.unionByName(crossings).unionByName(after).unionByName(most)
 
 
+#: How many sampled paths a landscape is checked on, segments of the paths for either figure, and points of a segment.
+LANDSCAPE_PATHS, QUADRANT_SEGMENTS, CORNER_SEGMENTS, SEGMENT_POINTS = 1000, 3, 5, 24
+
+
+def sampled_paths(indices: DataFrame, config: Config, segments: int) -> DataFrame:
+    """(sample, seg, k, x, y): straight paths between random points, a pure function of seed and sample; both ends of a path count, each inner corner once."""
+    master = config["master_seed"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(int(i), s, *a, *b) for i in f["sample"] for s, a, b in scenes.random_way(master, int(i), segments)], columns=["sample", "seg", "x0", "y0", "x1", "y1"])
+
+    ways = indices.select("sample").mapInPandas(run, "sample bigint, seg int, x0 double, y0 double, x1 double, y1 double")
+    at = F.when(F.col("seg") == 0, F.sequence(F.lit(0), F.lit(SEGMENT_POINTS))).otherwise(F.sequence(F.lit(1), F.lit(SEGMENT_POINTS)))
+    w = ways.withColumn("k", F.explode(at))
+    t = F.col("k") / F.lit(float(SEGMENT_POINTS))
+    return w.select("sample", "seg", "k", g.lerp(F.col("x0"), F.col("x1"), t).alias("x"), g.lerp(F.col("y0"), F.col("y1"), t).alias("y"))
+
+
+def landscape(spark: SparkSession, config: Config, paths: int = LANDSCAPE_PATHS) -> DataFrame:
+    """One row: how many quadrants dominate on a path on average, the share of paths that come near a corner, and what they fail."""
+    indices = spark.range(paths).withColumnRenamed("id", "sample")
+    seen = memberships(sampled_paths(indices, config, QUADRANT_SEGMENTS), config).groupBy("sample").agg(F.countDistinct("dom").alias("n")).agg(F.avg("n"))
+    near = memberships(sampled_paths(indices, config, CORNER_SEGMENTS), config).groupBy("sample").agg(F.bool_or(g.near_corner(F.col("q"))).alias("near")).agg(F.avg(F.col("near").cast("double")))
+    return checks.landscape_verdict(seen, near)
+
+
+def sound_report(of: DataFrame, config: Config) -> DataFrame:
+    """(scene_index, channels, rate, samples, expected, fault): what each scene's sound holds when it is read back, beside what it should."""
+    scene = config["scene"]
+    channels = 1 if scene["sound_channel_mapping"] == "mono_mix" else 2
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [codecs.read_wav(bytes(w)) for w in f["wav"]]
+            yield pd.DataFrame({"scene_index": f["scene_index"], "channels": [s.shape[1] for _, s in got], "rate": [r for r, _ in got], "samples": [len(s) for _, s in got]})
+
+    told = sound(of, config).mapInPandas(read, "scene_index bigint, channels int, rate int, samples bigint")
+    asked = checks.expected_samples(scenes.motion_events(of, config), scene["n_motion_slots"], scene["sound_sample_rate_hz"], scene["sound_frames_per_second"], ["scene_index"])
+    wrong = F.coalesce("fault", F.when(F.col("channels") != channels, "channels").when(F.col("rate") != scene["sound_sample_rate_hz"], "rate").when(F.col("samples") < 1, "empty").when(F.col("samples") != F.col("expected"), "samples"))
+    return told.join(asked, "scene_index", "full").withColumn("fault", F.when(F.col("samples").isNull(), "missing").otherwise(wrong)).select("scene_index", "channels", "rate", "samples", "expected", "fault")
+
+
 #: Fixed value: squared distances that differ by less are equal.
 TIE = 1e-12
 

@@ -200,3 +200,62 @@ def navigation(item: Column) -> dict[str, Column]:
     return {**b, "task": b["block"] + 1, "local": (item % ITEMS).cast("bigint"), "next_start": F.least(b["end_item"], F.lit(len(MODALITIES) * ITEMS)).cast("bigint")}
 
 
+
+
+#: How modalities, levels and questions are shown.
+SHOWN = {
+    "image": "Image", "video": "Video", "text": "Text", "tabular": "Tabular", "sound": "Sound", "easy": "Easy", "medium": "Medium", "hard": "Hard",
+    "oqp": "Ordered quadrant passage", "xct": "Crossing count", "zqh": "Quadrant after moves", "lme": "Largest motion shape",
+}
+
+
+def shown(code: Column) -> Column:
+    """The name under which a modality, level or question is shown; null for another code. Case and outer blanks don't matter."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for item in SHOWN.items() for x in item)), F.lower(F.trim(code)))
+
+
+def whole_numbers(raw: Column) -> Column:
+    """A list of whole numbers kept as text (JSON), as an array; null if it is anything else."""
+    return F.when(raw.rlike(r"^\s*\[\s*(-?[0-9]{1,9}(\s*,\s*-?[0-9]{1,9})*)?\s*\]\s*$"), F.from_json(raw, "array<int>"))
+
+
+def migrated(rows: DataFrame) -> DataFrame:
+    """Session rows of the older form in the newer: the cursor is what current_item_index says, which is dropped, and skipped_questions is there, empty if it was not."""
+    if "current_item_index" in rows.columns:
+        rows = rows.withColumn("next_question_index", F.coalesce("current_item_index", "next_question_index") if "next_question_index" in rows.columns else F.col("current_item_index")).drop("current_item_index")
+    empty = F.array().cast("array<int>")
+    return rows.withColumn("skipped_questions", F.coalesce("skipped_questions", empty) if "skipped_questions" in rows.columns else empty)
+
+
+def loaded(session_ids: DataFrame, stored: DataFrame, key: str = "session_id") -> DataFrame:
+    """session_ids with `persisted`: whether a session has a stored state."""
+    there = stored.select(key).distinct().withColumn("persisted", F.lit(True))
+    return session_ids.join(there, key, "left").withColumn("persisted", F.coalesce("persisted", F.lit(False)))
+
+
+def stimulus(plan: DataFrame, artifacts: DataFrame, is_human: bool) -> DataFrame:
+    """What each item shows: plan (modality, scene_id) with the files of its modality: media_type, and content (an array of files in order, a film's frames); for texts and tables `body`.
+
+    People see a text with the sentences about pairs, models without the pairs; both without its header. A table is shown as it is.
+    """
+    kind = {"image": "image", "video": "video", "text": "text", "tabular": "tabular", "sound": "sound"}
+    media = F.create_map(*(F.lit(x) for k, v in (("image", "image/png"), ("video", "image/png"), ("text", "text/plain"), ("tabular", "text/csv"), ("sound", "audio/wav")) for x in (k, v)))
+    of = artifacts.where(F.col("kind").isin(*kind)).groupBy("kind", "scene_id").agg(F.array_sort(F.collect_list(F.struct("name", "content"))).alias("_files"))
+    out = plan.join(of.withColumnRenamed("kind", "modality"), ["modality", "scene_id"], "left")
+    text = F.get("_files", 0)["content"].cast("string")
+    body = F.when(F.col("modality") == "text", sentences.trimmed(text, is_human)).when(F.col("modality") == "tabular", text)
+    return out.withColumn("media_type", F.element_at(media, F.col("modality"))).withColumn("content", F.transform("_files", lambda f: f["content"])).withColumn("body", body).drop("_files")
+
+
+def data_uri(media_type: Column, content: Column) -> Column:
+    return F.concat(F.lit("data:"), media_type, F.lit(";base64,"), F.base64(content))
+
+
+def reference_motions(spark, shape_type: str, color: str) -> DataFrame:
+    """Scenes of one motion each, from quadrant to next quadrant, centre to centre: what a sound reference is made of (four rows, scene_index 0 to 3)."""
+    centres = [geometry.CENTRES[q] for q in range(4)]
+    rows = []
+    for i in range(4):
+        (x0, y0), (x1, y1) = centres[i], centres[(i + 1) % 4]
+        rows.append((i, f"{i:032x}", [(0, shape_type, color)], [(0, 0, x0, y0, x1, y1)], [(0, 0, 0, 0, 0, 24)]))
+    return spark.createDataFrame(rows, scenes.SCHEMA)

@@ -418,3 +418,98 @@ def dealt_slots(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", "o_orderdate")
     out = runs.dealt(o.select("o_custkey", F.col("o_orderkey").alias("slot")), ["slot"], o, ["o_orderdate", "o_orderkey"], "slot", ["o_custkey"])
     return out.select("o_custkey", F.col("o_orderkey").alias("taker"), "slot")
+
+
+PATHS = 100
+
+
+@lru_cache(maxsize=4)
+def _sampled(segments: int) -> str:
+    rows = [(i, s, *a, *b) for i in range(PATHS) for s, a, b in scenes.random_way(_CONFIG["master_seed"], i, segments)]
+    n = dataset.SEGMENT_POINTS
+    return f"""SELECT *, u * v AS q1, (1 - u) * v AS q2, (1 - u) * (1 - v) AS q3, u * (1 - v) AS q4 FROM (SELECT *, {_axis(_SIG, 'x')} AS u, {_axis(_TAN, 'y')} AS v FROM (
+  SELECT i, x0 + (x1 - x0) * (k / {n}.0::DOUBLE) AS x, y0 + (y1 - y0) * (k / {n}.0::DOUBLE) AS y FROM ({_values(rows)}) w(i, s, x0, y0, x1, y1), range({n + 1}) r(k) WHERE s = 0 OR k > 0))"""
+
+
+_CORNER = " OR ".join("(" + " + ".join(f"(q{j} - {float(i == j)}) * (q{j} - {float(i == j)})" for j in range(1, 5)) + ") < 0.01" for i in range(1, 5))
+_DOMINANT = "CASE WHEN q1 >= q2 AND q1 >= q3 AND q1 >= q4 THEN 0 WHEN q2 >= q3 AND q2 >= q4 THEN 1 WHEN q3 >= q4 THEN 2 ELSE 3 END"
+
+
+@query(f"""WITH a AS (SELECT avg(n) AS m FROM (SELECT i, count(DISTINCT {_DOMINANT}) AS n FROM ({_sampled(dataset.QUADRANT_SEGMENTS)}) GROUP BY i)), b AS (SELECT avg(c) AS r FROM (SELECT i, bool_or({_CORNER})::INT AS c FROM ({_sampled(dataset.CORNER_SEGMENTS)}) GROUP BY i))
+SELECT round(m, 6) + 0.0 AS mean_quadrants, round(r, 6) + 0.0 AS corner_rate, CASE WHEN m < 2.0 THEN 'quadrants' WHEN r < 0.05 THEN 'corners' END AS fault FROM a, b""")
+def landscape_check(spark, sf_dir):
+    """The landscape of the default configuration on 100 sampled paths."""
+    return dataset.landscape(spark, _CONFIG, PATHS).select(r6(F.col("mean_quadrants")).alias("mean_quadrants"), r6(F.col("corner_rate")).alias("corner_rate"), "fault")
+
+
+@query(f"SELECT range::BIGINT AS scene_index, 2::BIGINT AS channels, {_RATE}::BIGINT AS rate, ({_SLOTS} * (({_DURATION} * {_RATE} + {_FPS - 1}) // {_FPS}))::BIGINT AS samples, NULL::VARCHAR AS fault FROM range(4)")
+def scene_sound_check(spark, sf_dir):
+    """What the sounds of scenes hold when they are read back."""
+    made, config = _scenes(spark, 4)
+    r = dataset.sound_report(made, config)
+    return r.select("scene_index", F.col("channels").cast("bigint").alias("channels"), F.col("rate").cast("bigint").alias("rate"), "samples", "fault")
+
+
+@query(f"WITH {_base()}, {_PATH} SELECT scene::BIGINT AS scene_index, count(*) AS points, count(*) AS with_quadrants, 0::BIGINT AS trajectory_only FROM xy GROUP BY scene")
+def projection_switch(spark, sf_dir):
+    """Points with soft quadrants, and without where only trajectories are wanted."""
+    made, config = _scenes(spark)
+    p = scenes.points(made, config, PER_EVENT)
+    a = dataset.memberships(p, config).groupBy("scene_index").agg(F.count("*").alias("points"), F.count("q").alias("with_quadrants"))
+    b = dataset.memberships(p, config, soft=False).groupBy("scene_index").agg(F.count("q").alias("trajectory_only"))
+    return a.join(b, "scene_index")
+
+
+@query("SELECT event_type, CASE lower(trim(event_type)) WHEN 'text' THEN 'Text' WHEN 'image' THEN 'Image' END AS shown, count(*) AS n FROM (SELECT CASE event_type WHEN 'click' THEN ' TEXT' WHEN 'view' THEN 'image' ELSE event_type END AS event_type FROM events) GROUP BY event_type")
+def shown_names(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.when(F.col("event_type") == "click", " TEXT").when(F.col("event_type") == "view", "image").otherwise(F.col("event_type")).alias("event_type"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", evaluation.shown(F.col("event_type")).alias("shown"), "n")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey + (o_orderkey % 7) WHEN 1 THEN 0 WHEN 2 THEN NULL ELSE NULL END::BIGINT AS total, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 0 END::BIGINT AS n FROM orders""")
+def stored_number_lists(spark, sf_dir):
+    """Lists of numbers that are kept as text: their sums and sizes; null for what is no list."""
+    k = F.col("o_orderkey")
+    raw = F.when(k % 4 == 0, F.concat(F.lit(" ["), k.cast("string"), F.lit(", "), (k % 7).cast("string"), F.lit("]"))).when(k % 4 == 1, "[]").when(k % 4 == 2, "[1,]").otherwise("x")
+    numbers = evaluation.whole_numbers(raw)
+    total = F.aggregate(numbers, F.lit(0).cast("bigint"), lambda t, x: t + x)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", total.alias("total"), F.when(numbers.isNotNull(), F.size(numbers)).cast("bigint").alias("n"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_nationkey END::BIGINT AS next_question_index, 0::BIGINT AS skipped FROM customer")
+def migrated_sessions(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    old = c.select("c_custkey", F.col("c_custkey").alias("next_question_index"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey").cast("bigint")).alias("current_item_index"))
+    new = evaluation.migrated(old)
+    return new.select("c_custkey", F.col("next_question_index").cast("bigint").alias("next_question_index"), F.size("skipped_questions").cast("bigint").alias("skipped"))
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS persisted FROM customer")
+def persisted_sessions(spark, sf_dir):
+    c, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
+    return evaluation.loaded(c.select("c_custkey"), o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query(f"""WITH {_base()}, {_TEXT}, ev_ AS (SELECT scene, string_agg(line, chr(10) ORDER BY line_no) AS body FROM told GROUP BY scene),
+pr AS (SELECT scene, string_agg('Pair ' || lpad(pair::VARCHAR, 4, '0') || ': [event ' || lpad(event::VARCHAR, 4, '0') || '] ' || an || ' is ' || h || ' ' || bn || ' and is ' || v || ' ' || bn || '.', chr(10) ORDER BY pair) AS body FROM related GROUP BY scene)
+SELECT scene::BIGINT AS scene_index, is_human, CASE WHEN is_human THEN ev_.body || chr(10) || pr.body ELSE ev_.body END AS body, 'text/plain' AS media_type FROM ev_ JOIN pr USING (scene), (VALUES (true), (false)) h(is_human)""")
+def text_stimuli(spark, sf_dir):
+    """What people and models see of a scene's text."""
+    made, config = _scenes(spark)
+    files = dataset.text_files(dataset.text(made, config)).select(F.lit("text").alias("kind"), identity.scene_id(F.col("scene_index")).alias("scene_id"), F.lit("text").alias("name"), F.col("text").cast("binary").alias("content"))
+    plan = made.select("scene_index", "scene_id", F.lit("text").alias("modality"))
+    one = lambda human: evaluation.stimulus(plan, files, human).select("scene_index", F.lit(human).alias("is_human"), F.regexp_replace("body", "\\n$", "").alias("body"), "media_type")
+    return one(True).union(one(False))
+
+
+@query("SELECT r_regionkey::BIGINT AS r_regionkey, 'data:text/plain;base64,' || to_base64(r_name::BLOB) AS uri FROM region")
+def data_uris(spark, sf_dir):
+    r = spark.read.parquet(f"{sf_dir}/region.parquet")
+    return r.select(F.col("r_regionkey").cast("bigint").alias("r_regionkey"), evaluation.data_uri(F.lit("text/plain"), F.col("r_name").cast("binary")).alias("uri"))
+
+
+@query()
+def reference_sounds(spark, sf_dir):
+    made = evaluation.reference_motions(spark, "circle", "red")
+    config = _CONFIG.replaced(scene__n_motion_slots=5)
+    return dataset.sound(made, config).select("scene_index", F.length("wav").alias("bytes"), F.sha2("wav", 256).alias("sha"))

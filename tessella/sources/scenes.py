@@ -77,6 +77,12 @@ def generate(spark: SparkSession, config: Config, count: int, index: int = 0) ->
     return from_indices(spark.range(index, index + count).withColumnRenamed("id", "scene_index"), config)
 
 
+def random_way(master: int, i: int, segments: int) -> list[tuple[int, list[float], list[float]]]:
+    """The segments (number, start, end) of a random path, from the trajectory stream of an index."""
+    points = _stream(master + i + identity.SEED_OFFSETS["trajectory"]).uniform(-1, 1, (segments + 1, 2)).tolist()
+    return [(s, a, b) for s, (a, b) in enumerate(zip(points, points[1:]))]
+
+
 def one(config: Config, i: int) -> dict:
     """The scene of an index, as a nested row (SCHEMA)."""
     scene, master = config["scene"], config["master_seed"]
