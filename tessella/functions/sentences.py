@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,14 +176,19 @@ def typo_variants(word: str) -> set[str]:
     return made - {word}
 
 
-def corrections(spark: SparkSession) -> DataFrame:
-    """(observed, word): every misspelling that exactly one word of the vocabulary explains. Its size depends on the vocabulary only."""
+@lru_cache(maxsize=1)
+def _fixes() -> dict[str, str]:
+    """Every misspelling that exactly one word of the vocabulary explains, with that word."""
     of: dict[str, set[str]] = {}
     for word in VOCABULARY:
         for v in typo_variants(word):
             of.setdefault(v, set()).add(word)
-    rows = [(v, next(iter(w))) for v, w in sorted(of.items()) if len(w) == 1 and v not in VOCABULARY]
-    return spark.createDataFrame(rows, "observed string, word string")
+    return {v: next(iter(w)) for v, w in sorted(of.items()) if len(w) == 1 and v not in VOCABULARY}
+
+
+def corrections(spark: SparkSession) -> DataFrame:
+    """(observed, word): every misspelling that exactly one word of the vocabulary explains. Its size depends on the vocabulary only."""
+    return spark.createDataFrame([*_fixes().items()], "observed string, word string")
 
 
 def corrected_words(words: DataFrame, word: str, out: str = "corrected") -> DataFrame:
@@ -206,14 +212,18 @@ def synonym_candidate(raw: Column) -> Column:
 def normalised(spark: SparkSession, lines: DataFrame, line: str = "line", out: str = "normal") -> DataFrame:
     """lines with their words put right: typing errors first, then synonyms; `translated` is `moved`. What is not a word stays.
 
-    The table of corrections, whose size depends on the vocabulary only, is one broadcast row.
+    The table of corrections, whose size depends on the vocabulary only, is one broadcast row. It is searched for words only that are
+    neither of the vocabulary nor of the thesaurus, as a search takes time in proportion to its size.
     """
+    plain_words = sorted({*VOCABULARY, *SYNONYMS, *(v for others in SYNONYMS.values() for v in others)} - _fixes().keys())
+    known = sorted({f(w) for w in plain_words for f in (str, str.capitalize)} - _fixes().keys())
     entries = F.map_from_entries(F.collect_list(F.struct("observed", "word"))).alias("_fixes")
     fixes = corrections(spark).agg(entries)
     pieces = F.regexp_extract_all(F.col(line), F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
 
     def one(piece: Column) -> Column:
-        plain = F.coalesce(F.try_element_at(F.col("_fixes"), piece), piece)
+        searched = F.coalesce(F.try_element_at(F.col("_fixes"), piece), piece)
+        plain = F.when(~piece.rlike("^[A-Za-z]") | piece.isin(known), piece).otherwise(searched)
         return F.when(plain == "translated", F.lit("moved")).otherwise(unsynonym(plain))
 
     return lines.crossJoin(F.broadcast(fixes)).withColumn(out, F.array_join(F.transform(pieces, one), "")).drop("_fixes")
