@@ -513,3 +513,118 @@ def reference_sounds(spark, sf_dir):
     made = evaluation.reference_motions(spark, "circle", "red")
     config = _CONFIG.replaced(scene__n_motion_slots=5)
     return dataset.sound(made, config).select("scene_index", F.length("wav").alias("bytes"), F.sha2("wav", 256).alias("sha"))
+
+
+@query(f"""WITH {_base()} SELECT scene::BIGINT AS scene_index, pos::BIGINT AS list_pos, event::BIGINT AS event, slot::BIGINT AS slot, kind || '_' || colour AS shape_id, round(x0, 9) + 0.0 AS x0, round(y1, 9) + 0.0 AS y1 FROM mo""")
+def generated_events(spark, sf_dir):
+    """The events that executors generate; the SQL has the rows that the pure function of configuration and index gives."""
+    made, config = _scenes(spark)
+    e = scenes.motion_events(made, config)
+    nine = lambda c: (F.round(c, 9) + F.lit(0.0)).alias
+    return e.select("scene_index", F.col("list_pos").cast("bigint").alias("list_pos"), F.col("global_event_index").alias("event"), F.col("time_slot").alias("slot"), "shape_id", nine("start_x")("x0"), nine("end_y")("y1"))
+
+
+@query(f"""WITH {_base()}, c AS (SELECT scene, shape, count(*) AS n, count(DISTINCT slot) AS slots, min(slot) >= 0 AND max(slot) < {_SLOTS} AS inside, list(slot ORDER BY nth) = list(slot ORDER BY slot) AS sorted FROM ev GROUP BY scene, shape)
+SELECT scene::BIGINT AS scene_index, shape::BIGINT AS shape_index, n, ({_SCENE['motion_events_per_shape']})[shape + 1]::BIGINT AS asked, n = slots AND inside AND sorted AS slots_fine, (SELECT count(DISTINCT event) = count(*) AND max(event) = count(*) - 1 AND min(event) = 0 FROM ev e WHERE e.scene = c.scene) AS numbering_fine FROM c""")
+def generation_rules(spark, sf_dir):
+    """Of each shape: its events and how many were asked for, whether its slots are distinct, inside and in order, and whether its scene numbers its events without gap."""
+    made, config = _scenes(spark)
+    e = scenes.motion_events(made, config)
+    in_order = F.array_sort(F.collect_list(F.struct("shape_event_index", "time_slot")))
+    slots = F.transform(in_order, lambda x: x["time_slot"])
+    fine = (F.countDistinct("time_slot") == F.count("*")) & (F.min("time_slot") >= 0) & (F.max("time_slot") < _SLOTS) & (slots == F.array_sort(slots))
+    of_shape = e.groupBy("scene_index", "shape_index").agg(F.count("*").alias("n"), fine.alias("slots_fine"))
+    numbered = runs.contiguous(e, ["scene_index"], "global_event_index").withColumnRenamed("contiguous", "numbering_fine")
+    asked = F.get(F.array(*map(F.lit, _SCENE["motion_events_per_shape"])), F.col("shape_index")).cast("bigint")
+    return of_shape.join(numbered, "scene_index").select("scene_index", F.col("shape_index").cast("bigint").alias("shape_index"), "n", asked.alias("asked"), "slots_fine", "numbering_fine")
+
+
+@query("SELECT range AS scene_index, lpad(lower(to_hex(range::UBIGINT)), 32, '0') AS scene_id, CASE WHEN range < 17 THEN 0 WHEN range < 24 THEN 1 ELSE 2 END::BIGINT AS batch FROM range(10, 29)")
+def scene_batches(spark, sf_dir):
+    """Nineteen scenes from the tenth on, in batches of seven."""
+    out = None
+    for i, b in enumerate(scenes.batches(spark, _CONFIG, 7, 19, 10)):
+        some = b.select("scene_index", "scene_id", F.lit(i).cast("bigint").alias("batch"))
+        out = some if out is None else out.union(some)
+    return out
+
+
+def _through(codec):
+    """Each user's points (id, rows) written by a codec and read again: (user_id, id, rows, width, total)."""
+    import pandas as pd
+
+    def run(frames):
+        for f in frames:
+            got = [codec(f"{u:032x}", [list(map(float, p)) for p in points]) for u, points in zip(f["user_id"], f["points"])]
+            yield pd.DataFrame({"user_id": f["user_id"], "name": [g[0] for g in got], "n": [len(g[1]) for g in got], "total": [sum(map(sum, g[1])) for g in got]})
+
+    return run
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: F.array(x["value"], x["event_id"].cast("double"))).alias("points"))
+
+
+_CODED = "SELECT user_id, lpad(lower(to_hex(user_id::UBIGINT)), 32, '0') AS name, count(*)::BIGINT AS n, round(sum(value) + sum(event_id), 3) + 0.0 AS total FROM events GROUP BY user_id"
+
+
+@query(_CODED)
+def target_codec(spark, sf_dir):
+    """Target files of all users' points, written and read back."""
+    from ..sources import codecs
+
+    def both(name, rows):
+        scene, _, got = codecs.read_target(codecs.write_target(name, "oqp0000", rows))
+        return scene, got
+
+    out = _points(spark, sf_dir).mapInPandas(_through(both), "user_id bigint, name string, n bigint, total double")
+    return out.withColumn("total", F.round("total", 3) + F.lit(0.0))
+
+
+@query(_CODED)
+def latent_codec(spark, sf_dir):
+    """As target_codec, as one vector for each user."""
+    from ..sources import codecs
+
+    def both(name, rows):
+        scene, got = codecs.read_latent(codecs.write_latent(name, [v for r in rows for v in r]))
+        return scene, [got[i : i + 2] for i in range(0, len(got), 2)]
+
+    out = _points(spark, sf_dir).mapInPandas(_through(both), "user_id bigint, name string, n bigint, total double")
+    return out.withColumn("total", F.round("total", 3) + F.lit(0.0))
+
+
+@query("SELECT user_id, lpad(lower(to_hex(user_id::UBIGINT)), 32, '0') AS name, count(*)::BIGINT AS n, sum(trunc(value))::DOUBLE + 0.0 AS total FROM events GROUP BY user_id")
+def wav_codec(spark, sf_dir):
+    """All users' values as 16-bit sounds, written and read back."""
+    import numpy as np
+
+    from ..sources import codecs
+
+    def both(name, rows):
+        rate, got = codecs.read_wav(codecs.write_wav(np.trunc(np.array([[r[0]] for r in rows])), 8000))
+        return name if rate == 8000 else "", got.tolist()
+
+    return _points(spark, sf_dir).mapInPandas(_through(both), "user_id bigint, name string, n bigint, total double").withColumn("total", F.col("total") + F.lit(0.0))
+
+
+@query(f"WITH {_base(GRAPH_SCENES)}, {_LATENT} SELECT {GRAPH_SCENES}::BIGINT AS nodes, count(*) AS edges, round(sum(weight), 6) + 0.0 AS weight, round(sum(weight * (src * 100 + dst)), 4) + 0.0 AS places FROM edges")
+def graph_codec(spark, sf_dir):
+    """The site graph as a file, read back."""
+    from ..sources import codecs
+
+    _, edges, _ = _site(spark)
+    rows = [(r.src, r.dst, r.weight) for r in edges.select("src", "dst", "weight").toLocalIterator()]
+    nodes, got, _, _ = codecs.read_graph(codecs.write_graph(GRAPH_SCENES, rows, 0.5, (1, 2, 1.5)))
+    out = spark.createDataFrame([(nodes, *e) for e in got], "nodes bigint, src bigint, dst bigint, weight double")
+    return out.groupBy("nodes").agg(F.count("*").alias("edges"), r6(F.sum("weight")).alias("weight"), (F.round(F.sum(F.col("weight") * (F.col("src") * 100 + F.col("dst"))), 4) + F.lit(0.0)).alias("places"))
+
+
+@query(f"WITH {_base()}, {_TARGETS} SELECT scene::BIGINT AS scene_index, count(*) AS files, sum(n)::BIGINT AS segments FROM (SELECT scene, task_id, count(*) AS n FROM t GROUP BY scene, task_id) GROUP BY scene")
+def target_files(spark, sf_dir):
+    """The target files of a dataset, and the segments that their heads tell."""
+    made, config = _scenes(spark)
+    files = dataset.artifacts(made, config, PER_EVENT).where("kind = 'target'")
+    segments = F.conv(F.hex(F.reverse(F.substring(F.col("content"), 49, 4))), 16, 10).cast("bigint")
+    return files.groupBy((F.conv("scene_id", 16, 10)).cast("bigint").alias("scene_index")).agg(F.count("*").alias("files"), F.sum(segments).alias("segments"))
