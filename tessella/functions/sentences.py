@@ -262,7 +262,7 @@ def text_faults(meaning: DataFrame) -> DataFrame:
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
     counted = meaning.groupBy("scene_index").agg(
         F.count_if(F.col("kind") == "unread").alias("unread"), F.count_if(F.col("kind") == "header").alias("headers"), F.max("what.events").alias("said"),
-        *(x.alias(f"{kind}_{name}") for kind in ("event", "pair") for name, x in (("n", F.count(of(kind, F.lit(1)))), ("distinct", F.countDistinct(of(kind, F.col("place")))), ("last", F.max(of(kind, F.col("place")))), ("first", F.min(of(kind, F.col("place")))))),
+        *(f(of(kind, F.col("place"))).alias(f"{kind}_{name}") for kind in ("event", "pair") for name, f in (("n", F.count), ("distinct", F.countDistinct), ("last", F.max), ("first", F.min))),
     )
     gap = lambda kind: (F.col(f"{kind}_n") > 0) & ((F.col(f"{kind}_first") != 0) | (F.col(f"{kind}_last") != F.col(f"{kind}_n") - 1) | (F.col(f"{kind}_distinct") != F.col(f"{kind}_n")))
     rules = F.array(
@@ -359,7 +359,8 @@ def mistype(line: Column, rate: float, seed: Column) -> Column:
         head, tail = F.substring(piece, F.lit(1), at - 1), F.substring(piece, at + 1, n)
         swapped = F.concat(head, F.substring(tail, F.lit(1), F.lit(1)), letter, F.substring(tail, F.lit(2), n))
         kind = draw(12, F.lit(6))
-        wrong = F.when(kind == 0, F.concat(head, letter, letter, tail)).when(kind == 1, F.concat(head, tail)).when(kind == 2, swapped).when(kind == 3, F.concat(head, key, tail)).when(kind == 4, F.concat(head, letter, key, tail)).otherwise(F.concat(head, key, letter, tail))
+        wrong = F.when(kind == 0, F.concat(head, letter, letter, tail)).when(kind == 1, F.concat(head, tail)).when(kind == 2, swapped)
+        wrong = wrong.when(kind == 3, F.concat(head, key, tail)).when(kind == 4, F.concat(head, letter, key, tail)).otherwise(F.concat(head, key, letter, tail))
         hit = piece.rlike("^[A-Za-z]{4,}$") & ~protected(piece) & (draw(13, F.lit(1_000_003)) / F.lit(1_000_003.0) < rate)
         return F.when(hit, wrong).otherwise(piece)
 

@@ -58,7 +58,9 @@ def target_report(targets: DataFrame, task: str = "task_id", segment: str = "seg
 
 
 def target_faults(targets: DataFrame, expected: DataFrame, keys: list[str], task: str = "task_id", segment: str = "segment_index", values: str = "values") -> DataFrame:
-    """(keys, task, fault): targets that are missing or unasked for (expected has keys and task), whose segments are not numbered from 0 on, are empty, differ in width, hold a number that is not finite, or, for passages of quadrants, leave 0 to 1 or do not sum to 1."""
+    """(keys, task, fault): targets that are missing or unasked for (expected has keys and task), whose segments are not numbered from 0 on, are
+    empty, differ in width, hold a number that is not finite, or, for passages of quadrants, leave 0 to 1 or do not sum to 1.
+    """
     v = F.col(values)
     passage = F.col(task).startswith("oqp")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

@@ -169,7 +169,9 @@ def text(of: DataFrame, config: Config, peers_first: bool = False, vertical_firs
     head = of.select("scene_index", F.lit(0).cast("bigint").alias("line_no"), sentences.header(F.col("scene_id"), F.size("events")).alias("line"))
     # Where each shape is after each event, in the order of event numbers.
     names = of.select("scene_index", F.explode("identities").alias("s")).select("scene_index", F.col("s.shape_index").alias("shape"), F.concat_ws("_", "s.shape_type", "s.color").alias("name"))
-    moved = e.select("scene_index", F.col("global_event_index").alias("event"), F.col("shape_index").alias("mover"), F.struct(F.col("end_x").alias("x"), F.col("end_y").alias("y")).alias("end"), F.when(F.col("shape_event_index") == 0, F.struct(F.col("start_x").alias("x"), F.col("start_y").alias("y"))).alias("first"))
+    point = lambda which: F.struct(F.col(f"{which}_x").alias("x"), F.col(f"{which}_y").alias("y"))
+    first = F.when(F.col("shape_event_index") == 0, point("start"))
+    moved = e.select("scene_index", F.col("global_event_index").alias("event"), F.col("shape_index").alias("mover"), point("end").alias("end"), first.alias("first"))
     grid = moved.join(names, "scene_index").withColumn("_end", F.when(F.col("mover") == F.col("shape"), F.col("end")))
     anchor = F.max(F.when(F.col("mover") == F.col("shape"), F.col("first"))).over(Window.partitionBy("scene_index", "shape"))
     placed = runs.last_known(grid.withColumn("_anchor", anchor), ["scene_index", "shape"], ["event"], "_end", F.col("_anchor"), "at").where("at is not null")
@@ -260,7 +262,9 @@ def artifacts(of: DataFrame, config: Config, per_event: int, with_frames: bool =
     out = t.groupBy("scene_id", "task_id").applyInPandas(target, schema).union(latents(of, config).mapInPandas(latent, schema))
     named = lambda df, kind, content: df.select(F.lit(kind).alias("kind"), identity.scene_id(F.col("scene_index")).alias("scene_id"), F.lit(kind).alias("name"), F.col(content).cast("binary").alias("content"))
     lines = text_files(text(of, config))
-    return out.union(named(csv_lines(tabular(of, config)), "tabular", "csv")).union(named(lines, "text", "text")).union(named(sound(of, config), "sound", "wav")).union(named(comics(of, config), "image", "png")).union(_frames(films(of, config)) if with_frames else named(of.where("false").withColumn("none", F.lit("")), "video", "none"))
+    out = out.union(named(csv_lines(tabular(of, config)), "tabular", "csv")).union(named(lines, "text", "text"))
+    out = out.union(named(sound(of, config), "sound", "wav")).union(named(comics(of, config), "image", "png"))
+    return out.union(_frames(films(of, config))) if with_frames else out
 
 
 def _frames(films: DataFrame) -> DataFrame:

@@ -98,9 +98,10 @@ def answers(plan: DataFrame, targets: DataFrame, identities: DataFrame) -> DataF
     v = lambda i: F.get("values", i)
     finite = lambda i: v(i).isNotNull() & ~F.isnan(v(i)) & (F.abs(v(i)) < F.lit(float("inf")))
     first = targets.where("segment_index = 0")
-    passages = targets.where(F.col("task_id").startswith("oqp")).groupBy("scene_index", "task_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_index", (geometry.dominant(F.col("values")) + 1).alias("q")))), lambda x: x["q"].cast("string")), ",").alias("told"), F.bool_and(F.size("values") == 4).alias("fine")
-    ).select("scene_index", "task_id", F.when(F.col("fine"), F.col("told")).alias("told"), F.lit(None).cast("bigint").alias("moves"))
+    in_order = F.array_sort(F.collect_list(F.struct("segment_index", (geometry.dominant(F.col("values")) + 1).alias("q"))))
+    told = F.array_join(F.transform(in_order, lambda x: x["q"].cast("string")), ",")
+    of_shapes = targets.where(F.col("task_id").startswith("oqp")).groupBy("scene_index", "task_id")
+    passages = of_shapes.agg(told.alias("told"), F.bool_and(F.size("values") == 4).alias("fine")).select("scene_index", "task_id", F.when(F.col("fine"), F.col("told")).alias("told"), F.lit(None).cast("bigint").alias("moves"))
     crossings = first.where(F.col("task_id").startswith("xct")).select("scene_index", "task_id", F.when(finite(0), F.round(v(0)).cast("bigint").cast("string")).alias("told"), F.lit(None).cast("bigint").alias("moves"))
     sound = (F.size("values") == 2) & finite(0) & finite(1) & (F.round(v(0)) >= 1) & F.round(v(1)).between(0, 3)
     after = first.where(F.col("task_id").startswith("zqh")).select("scene_index", "task_id", F.when(sound, (F.round(v(1)).cast("bigint") + 1).cast("string")).alias("told"), F.when(sound, F.round(v(0)).cast("bigint")).alias("moves"))

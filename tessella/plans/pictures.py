@@ -109,7 +109,9 @@ def comics(of: DataFrame, config: Config) -> DataFrame:
     slots = scene["n_motion_slots"]
     cols, rows, thumb, gutter = (c.cast("int") for c in media.layout(F.lit(slots), scene["resolution"]).values())
     seed = F.col("scene_index") + F.lit(config["master_seed"])
-    rows_ = of.select("scene_index", "identities", "waypoints", "events", panels(seed, slots, scene["resolution"], scene["image_frame_scatter"]).alias("places"), F.struct(thumb.alias("thumb"), gutter.alias("gutter"), cols.alias("cols"), rows.alias("rows")).alias("grid"))
+    places = panels(seed, slots, scene["resolution"], scene["image_frame_scatter"])
+    grid = F.struct(thumb.alias("thumb"), gutter.alias("gutter"), cols.alias("cols"), rows.alias("rows"))
+    rows_ = of.select("scene_index", "identities", "waypoints", "events", places.alias("places"), grid.alias("grid"))
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -294,7 +294,8 @@ def inspected(spark: SparkSession, config: Config, index: int, per_event: int) -
     """A scene's figures, and those of each of its shapes."""
     made = scenes.generate(spark, config, 1, index)
     e = scenes.motion_events(made, config)
-    slot = e.groupBy("time_slot").agg(F.countDistinct("shape_index").alias("shapes")).agg(F.count("*").alias("time_slot_count"), F.count_if(F.col("shapes") > 1).alias("simultaneous_slot_count"), F.coalesce(F.max("shapes"), F.lit(0)).alias("max_shapes_per_slot")).first().asDict()
+    of_slot = e.groupBy("time_slot").agg(F.countDistinct("shape_index").alias("shapes"))
+    slot = of_slot.agg(F.count("*").alias("time_slot_count"), F.count_if(F.col("shapes") > 1).alias("simultaneous_slot_count"), F.coalesce(F.max("shapes"), F.lit(0)).alias("max_shapes_per_slot")).first().asDict()
     points = scenes.points(made, config, per_event).groupBy("shape_index").agg(F.count("*").alias("trajectory_points"))
     moved = e.groupBy("shape_index").agg(F.count("*").alias("motion_events"))
     who = made.select(F.explode("identities").alias("s")).select("s.shape_index", F.concat_ws("_", "s.shape_type", "s.color").alias("shape_id"))

@@ -137,8 +137,10 @@ def motion_events(scenes: DataFrame, config: Config) -> DataFrame:
     way = F.filter("waypoints", lambda w: (w["shape_index"] == F.col("e.shape_index")) & (w["segment"] == F.col("e.shape_event_index")))[0]
     who = F.filter("identities", lambda s: s["shape_index"] == F.col("e.shape_index"))[0]
     out = e.select("scene_index", "scene_id", "e.*", way.alias("w"), who.alias("s"))
-    return out.select("scene_index", "scene_id", "list_pos", "global_event_index", "time_slot", "shape_index", "shape_event_index", "duration_frames", F.lit(config["scene.easing_family"]).alias("easing"),
-                      F.col("w.x0").alias("start_x"), F.col("w.y0").alias("start_y"), F.col("w.x1").alias("end_x"), F.col("w.y1").alias("end_y"), F.col("s.shape_type").alias("shape_type"), F.col("s.color").alias("color"), F.concat_ws("_", "s.shape_type", "s.color").alias("shape_id"))
+    ends = [F.col(f"w.{a}").alias(b) for a, b in (("x0", "start_x"), ("y0", "start_y"), ("x1", "end_x"), ("y1", "end_y"))]
+    shape = [F.col("s.shape_type").alias("shape_type"), F.col("s.color").alias("color"), F.concat_ws("_", "s.shape_type", "s.color").alias("shape_id")]
+    event = ["scene_index", "scene_id", "list_pos", "global_event_index", "time_slot", "shape_index", "shape_event_index", "duration_frames"]
+    return out.select(*event, F.lit(config["scene.easing_family"]).alias("easing"), *ends, *shape)
 
 
 def batches(spark: SparkSession, config: Config, batch_size: int, num_samples: int | None = None, index: int = 0, loop: bool = False) -> Iterator[DataFrame]:
