@@ -71,7 +71,7 @@ def _nearest(q: np.ndarray, q_ids: pa.Array, p: np.ndarray, p_ids: pa.Array, k:
     most = min(k, len(p))
     limit = np.partition(about, most - 1, axis=1)[:, most - 1]
     # A matrix product rounds differently from a sum of squares: what it can't tell apart is measured again.
-    who, at = np.nonzero(about <= (limit + 1e-9 * (1 + np.abs(squares).max(axis=1)))[:, None])
+    who, at = np.nonzero((about <= (limit + 1e-9 * (1 + np.abs(squares).max(axis=1)))[:, None]) & np.isfinite(about))
     d2 = np.empty(len(who))
     for i in range(0, len(who), 1 << 16):
         part = slice(i, i + (1 << 16))
