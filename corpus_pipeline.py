@@ -15,7 +15,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: texts linked by a Jaccard similarity of their five-word shingles of 0.8 or more."""
+    """One document of each class of near-duplicates: links of operator 6 and of minhash bands, verified by a Jaccard similarity of the five-word shingles of 0.8 or more."""
     return overlap.keep_one(docs)
 
 

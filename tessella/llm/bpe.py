@@ -36,7 +36,7 @@ from .common import per_batch
 #: Fixed value: the word pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of a generation of the cache. When the younger one is full, it becomes the older, and words of that which were not met since are forgotten.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 #: Words longer than this many characters are not remembered.
 CACHE_CHARS = 64
 _NEVER = np.iinfo(np.int64).max
@@ -335,7 +335,7 @@ def encode(df: DataFrame, definition: bytes, text_col: str = "text", out_col: st
     schema = StructType([*kept.schema.fields, StructField(out_col, ArrayType(IntegerType()))])
     if with_count:
         schema = StructType([*schema.fields, StructField(with_count, LongType())])
-    return per_batch(kept, work, schema)
+    return per_batch(kept, work, schema, text_col)
 
 
 def decode(df: DataFrame, definition: bytes, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -364,4 +364,4 @@ def digests(df: DataFrame, definition: bytes, id_col: str = "doc_id", text_col:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     slim = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return per_batch(slim, work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return per_batch(slim, work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", "text")

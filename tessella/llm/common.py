@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,13 +57,36 @@ def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType) -> DataFrame:
-    """Apply work to each Arrow batch of df. A batch holds at most what spark.sql.execution.arrow allows."""
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, but when a task is done the memory that it freed goes back to the system: workers stay for the tasks of later stages, and would hold it."""
 
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType, text_col: str | None = None) -> DataFrame:
+    """Apply work to each Arrow batch of df, or to parts of it of about two megabytes of text_col. A batch holds at most what spark.sql.execution.arrow allows."""
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = work(batch)
-            yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+            for part in [batch] if text_col is None else in_parts(batch, batch.schema.get_field_index(text_col), 4096, 1 << 21):
+                out = work(part)
+                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+            give_back()
 
     return df.mapInArrow(run, schema)
 

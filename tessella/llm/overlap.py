@@ -1,8 +1,9 @@
-"""Near-duplicates by the exact overlap of their shingles, with minhash bands to find candidates.
+"""Near-duplicates by the exact overlap of their shingles: SimHash links, completed by minhash bands, both verified.
 
-Texts of equal shingles are one set. Each set is indexed under 25 bands of five minhashes; of sets whose Jaccard
-similarity is 0.8 a pair shares a band with odds of 0.99995, and more similar ones with better. Sets that share a band are compared by all
-their shingles, so no pair below the threshold is linked. Only texts that share a band with another set are read again.
+Texts of equal shingles are one set. Fingerprints of 64 bits that differ in two bits or fewer (operator 6) propose few of the pairs of a Jaccard similarity of
+0.8: at that similarity about ten bits differ, and segments that find ten bits are too short to tell texts apart. So each set is also indexed under 25 bands
+of five minhashes; of sets whose similarity is 0.8 a pair shares a band with odds of 0.99995, and more similar ones with better. Whatever proposes a pair,
+its sets are compared by all their shingles, so no pair below the threshold is linked. Only texts that a pair needs are read again.
 
 Of a band that many share, texts rather than pairs are dealt out: the group is cut into blocks of bounded size, and a task holds two of them, or the
 one there is, and searches them breadth first by their lists of shingles, each set against those not reached yet. Each two blocks meet in one task, so no
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import roots as components
-from .common import cut, row_key
-from .simhash import kept
+from .common import cut, give_back, in_parts, row_key, tidy
+from .simhash import kept, links, shingles, voted
 
 BANDS, ROWS = 25, 5
 #: Groups up to this size are compared pair by pair.
@@ -35,12 +36,8 @@ _PLUS = _RNG.integers(0, 2**64 - 1, BANDS * ROWS, np.uint64)
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
-    """The distinct hashes of the runs of so many words of a text, in order; of a shorter text that of the whole, and none if it has no word."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) > words else [b" ".join(parts)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64))
+    """The distinct hashes of the runs of so many words of a text, in order."""
+    return np.unique(shingles(text, words))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -58,19 +55,27 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(words: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(2)]
-            keys = [band_keys(s) for s in sets]
-            digest = pa.array([xxhash.xxh64_intdigest(s.tobytes(), 7) - 2**63 for s in sets], pa.int64())
-            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-            bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digest, pa.array(map(len, sets), pa.int64()), bands], names=["doc_id", "row_key", "digest", "n", "bands"])
+            for part in in_parts(batch, 2, 4096):
+                prints, sets = [], []
+                for t in part.column(2):
+                    hashes = shingles(t.as_py(), words)
+                    prints.append(voted(hashes))
+                    sets.append(np.unique(hashes))
+                keys = [band_keys(s) for s in sets]
+                digest = pa.array([xxhash.xxh64_intdigest(s.tobytes(), 7) - 2**63 for s in sets], pa.int64())
+                ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+                bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+                columns = [part.column(0), part.column(1), digest, pa.array(map(len, sets), pa.int64()), bands, pa.array(prints, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "digest", "n", "bands", "fp"])
 
     return run
 
 
 def _verified(words: int, percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, None
         for batch in batches:
@@ -111,7 +116,10 @@ def _searched(words: int, percent: int):
                 pending[near], root[near] = False, first
                 reached += near.tolist()
         digest, moved = rows.column("digest").to_numpy(), np.flatnonzero(root != np.arange(len(sets)))
-        return pa.table({"a": digest[root[moved]], "b": digest[moved]})
+        out = pa.table({"a": digest[root[moved]], "b": digest[moved]})
+        del sets, code, owner
+        give_back()
+        return out
 
     return run
 
@@ -123,16 +131,20 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     more. component_id is the least id of the class; null ids are passed over. Texts without words are equal.
     """
     keyed = df.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(df).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(keyed.mapInArrow(_signed(words), "doc_id bigint, row_key bigint, digest bigint, n bigint, bands array<bigint>"))
-    prints = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    rows = cut(keyed.mapInArrow(_signed(words), "doc_id bigint, row_key bigint, digest bigint, n bigint, bands array<bigint>, fp bigint"))
+    prints = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp"))
     prints = cut(prints)
     keys = prints.select("digest", "n", F.explode("bands").alias("key"))
     group = keys.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
     members = cut(keys.join(group, "key"))
-    asked = members.select("digest").distinct().join(prints.select("digest", "row_key"), "digest")
-    texts = cut(keyed.select("row_key", "text").join(asked, "row_key").dropDuplicates(["digest"]).select("digest", "text"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def texts_of(digests: DataFrame) -> DataFrame:
+        asked = digests.distinct().join(prints.select("digest", "row_key"), "digest")
+        return cut(keyed.select("row_key", "text").join(asked, "row_key").dropDuplicates(["digest"]).select("digest", "text"))
+
+    texts = texts_of(members.select("digest"))
+
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("digest").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
         return cut(both.mapInArrow(_verified(words, percent), "a bigint, b bigint"))
@@ -156,8 +168,19 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     dealt = large.withColumn("other", F.explode(other)).select("key", "digest", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     near = cut(dealt.join(texts, "digest").groupBy("key", "one", "two").applyInArrow(_searched(words, percent), "a bigint, b bigint").distinct())
     left = cut(apart(members.where(F.col("size") <= SMALL_GROUP), None if near.isEmpty() else components(near)))
-    last = verified(left.join(left.select("key", *second), "key").where(fits & (F.col("digest") < F.col("digest2")) & (F.col("root") != F.col("root2"))).select(*pair).distinct())
-    roots = components(near.union(last))
+    last = verified(left.join(left.select("key", *second), "key").where(fits & (F.col("digest") < F.col("digest2")) & (F.col("root") != F.col("root2"))).select(*pair).distinct(), texts)
+    found = cut(near.union(last))
+    roots = components(found)
+    # Fingerprints: each one's least set stands for it, and is linked with its other sets and with those of fingerprints within two bits.
+    sets = cut(prints.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "n", "fp", F.coalesce("root", "digest").alias("root")))
+    heads = cut(sets.groupBy("fp").agg(F.min(F.struct("digest", "n", "root")).alias("h")).select("fp", "h.*"))
+    other = [F.col(c).alias(f"{c}2") for c in ("digest", "n", "root")]
+    near_prints = links(heads.select("fp")).join(heads.withColumnRenamed("fp", "a"), "a").join(heads.select(F.col("fp").alias("b"), *other), "b")
+    proposed = sets.join(heads.select("fp", *other), "fp").unionByName(near_prints, allowMissingColumns=True).where(fits & (F.col("root") != F.col("root2")))
+    proposed = cut(proposed.select(*pair).distinct())
+    if not proposed.isEmpty():
+        more = verified(proposed, texts_of(proposed.select(F.explode(F.array("a", "b")).alias("digest"))))
+        roots = components(found.union(more))
     named = prints.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(heads, "root").select("digest", F.col("root").alias("fingerprint"), "component_id")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.graph import roots as components
-from .common import cut, row_key, unused
+from .common import cut, row_key, tidy, unused
 
 #: Bits in which linked fingerprints may differ.
 DISTANCE = 2
@@ -33,26 +33,33 @@ SMALL_GROUP = 48
 LARGE_GROUP = 1 << 18
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The SimHash of a text, as a signed 64-bit number; 0 if it has no word."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The hashes of the runs of so many words of a text, in order, repeats included; of a shorter text that of the whole, and none if it has no word."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
-    if len(parts) <= words:
-        shingles = [b" ".join(parts)]
-    else:
-        shingles = [*map(b" ".join, zip(*(parts[i:] for i in range(words))))]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
+        return np.zeros(0, np.uint64)
+    runs = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) > words else [b" ".join(parts)]
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in runs), np.uint64)
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit number; 0 for none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The SimHash of a text, as a signed 64-bit number; 0 if it has no word."""
+    return voted(shingles(text, words))
+
+
 def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint", words: int = 3) -> DataFrame:
     """The columns of df but for its text, with the fingerprint (long) appended as out_col; a column of that name is replaced. A null text counts as empty."""
     df = df.drop(out_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
@@ -164,6 +171,7 @@ def _compared(small: int, large: int):
         none = np.zeros(0, np.uint64)
         return np.concatenate([none, *a]), np.concatenate([none, *b]), (keys[over], fps[over])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(a, b, key=None):
             a, b = a.view(np.int64), b.view(np.int64)
