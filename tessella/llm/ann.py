@@ -203,7 +203,8 @@ def _built(settings: Settings, most: int):
         place = np.arange(len(ids)) - start[point]
         first = place < most
         graph = Graph(_levelled(x[new]), settings)
-        out = {"kind": rows.column("kind")[0].as_py(), "shard": rows.column("shard")[0].as_py(), "dims": x.shape[1], "points": x[new].tobytes(), "edges": graph.edges.astype(np.int32).tobytes(), "member": ids[first].tobytes(), "owner": point[first].tobytes()}
+        out = {"kind": rows.column("kind")[0].as_py(), "shard": rows.column("shard")[0].as_py(), "dims": x.shape[1]}
+        out |= {"points": x[new].tobytes(), "edges": graph.edges.astype(np.int32).tobytes(), "member": ids[first].tobytes(), "owner": point[first].tobytes()}
         return pa.Table.from_pylist([out], schema=_GRAPH)
 
     return work

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 ROLES = ("system", "user", "assistant", "tool")
 #: What speakers are called in transcripts.
@@ -147,6 +147,7 @@ def fit(transcripts: DataFrame, role_col: str, settings: Settings = Settings(),
     ids = ordinary.select("conv").distinct().orderBy(F.xxhash64("conv"), "conv").limit(settings.fit_transcripts)
     chosen = ordinary.join(F.broadcast(ids), "conv", "left_semi")
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, int, int], int] = {}
         for _, rows in _gathered(batches):
@@ -250,6 +251,7 @@ def turns(df: DataFrame, model: Model, id_col: str = "conv_id", order_col: str =
     schema = f"conv {conv_type}, turn_no bigint, role int, text string"
     arrow_type = pa.schema([("turn_no", pa.int64()), ("role", pa.int32()), ("text", pa.string())])
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_type, held, size = None, [], 0
 
@@ -321,6 +323,7 @@ def _long_turns(pieces: DataFrame, shared, settings: Settings, conv_type: str) -
     keys = ["conv", "ord", "tie"]
     dealt = pieces.repartitionByRange(*keys).sortWithinPartitions(*keys, "text").select("conv", F.spark_partition_id().cast("bigint").alias("part"), "text")
 
+    @tidy
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size, of, one = 0, [], 0, None, None
 
@@ -350,6 +353,7 @@ def _long_turns(pieces: DataFrame, shared, settings: Settings, conv_type: str) -
     schema = f"conv {conv_type}, segment bigint, lines array<string>, first int, open_ended boolean, ends_empty boolean, best array<double>, opens array<bigint>"
     rows = cut(dealt.mapInArrow(segments, schema))
 
+    @tidy
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict = {}
 
@@ -367,6 +371,7 @@ def _long_turns(pieces: DataFrame, shared, settings: Settings, conv_type: str) -
     known = rows.select("conv", "segment", "first", "open_ended", "ends_empty", "best", "opens").repartition("conv").sortWithinPartitions("conv", "segment")
     states = known.mapInArrow(ends, f"_conv {conv_type}, _segment bigint, first_state int, last_state int, first_code int, before bigint")
 
+    @tidy
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import in_parts, unused
+from .common import in_parts, tidy, unused
 
 #: Elements by their role in a page's structure.
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes template xmp".split())
@@ -34,8 +35,11 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes te
 OUT_TAGS = frozenset("head nav aside footer form button select input label datalist output script style noscript template svg math iframe object embed canvas audio video map dialog menu search title textarea noembed noframes".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note status".split())
 OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login "
-    "sidebar menu menus nav navbar topnav topbar discussion discussions feedback copyright teaser teasers recommendations navigation breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond share sharing social related recommended widget widgets toolbar pagination pager skip masthead".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted "
+    "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login "
+    "sidebar menu menus nav navbar topnav topbar discussion discussions feedback copyright teaser teasers recommendations "
+    "navigation breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond share sharing social related recommended "
+    "widget widgets toolbar pagination pager skip masthead".split()
 )
 #: Words that keep an element in, whatever else its class says.
 IN_WORDS = frozenset("article content main post entry story".split())
@@ -312,6 +316,7 @@ def extracted(df: DataFrame, html_col: str = "html", out_col: str = "text", *kep
     (source,) = unused(df, "_html")
     names = [c for c in kept if c.lower() not in (out_col.lower(), "n_chars")]
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_parts(batch, 0):

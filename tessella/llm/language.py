@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, in_parts
+from .common import bounded_rows, in_parts, tidy
 from .ngrams import letter_classes, trigram_counts
 
 #: Families of closely related languages; a language that is not listed is a family of its own.
@@ -119,6 +119,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     """
     picked = bounded_rows(labelled, None, id_col, lang_col, text_col, settings.fit_rows)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_parts(batch, 1):
@@ -151,6 +152,7 @@ def predicted(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """One row for each row of df: doc_id, lang_pred and score. Repeated rows stay; null texts and texts without a letter are `und` with score 0."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_parts(batch, 1):

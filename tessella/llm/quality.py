@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, in_parts
+from .common import bounded_rows, in_parts, tidy
 from .ngrams import shape_classes, trigram_counts
 
 SHAPES = 16
@@ -105,6 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     known = labels.select(id_col, F.col(label_col).cast("int").alias(label_col)).where(F.col(label_col).isin(0, 1))
     rows = bounded_rows(known, docs, id_col, label_col, text_col, settings.fit_rows)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_parts(batch, 1):
@@ -134,6 +135,7 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row for each row of df: doc_id and score (0 to 1). Empty and null texts have no terms and score 0.5, as do all if there was nothing to learn from. Repeated rows stay."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

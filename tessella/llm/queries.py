@@ -88,7 +88,8 @@ def transcripts_text() -> Column:
     """A turn of `conversations` as raw transcripts show it: the role is told by a marker in one of several styles, and left out of every fifth turn."""
     style, role = F.pmod(F.xxhash64("conv_id"), F.lit(4)), F.col("role")
     human = F.when(role == "user", "Human").when(role == "assistant", "AI").otherwise(F.initcap("role"))
-    marked = F.when(style == 0, F.concat(F.initcap("role"), F.lit(": "), "text")).when(style == 1, F.concat(F.lit("### "), human, F.lit(":\n"), "text")).when(style == 2, F.concat(F.lit("["), role, F.lit("]\n"), "text")).otherwise(F.concat(F.lit("<|"), role, F.lit("|>"), "text"))
+    marked = F.when(style == 0, F.concat(F.initcap("role"), F.lit(": "), "text")).when(style == 1, F.concat(F.lit("### "), human, F.lit(":\n"), "text"))
+    marked = marked.when(style == 2, F.concat(F.lit("["), role, F.lit("]\n"), "text")).otherwise(F.concat(F.lit("<|"), role, F.lit("|>"), "text"))
     bare = role.isNull() | (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == 0)
     return F.when(bare, F.col("text")).otherwise(marked)
 

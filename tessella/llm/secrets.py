@@ -58,13 +58,14 @@ def spans(text: Column, rule: Rule) -> Column:
 
         def step(state: Column, i: Column) -> Column:
             begin = state["at"] + F.length(F.get(between, i))
-            return bind(
-                begin,
-                lambda b: F.struct(
-                    (b + F.length(F.get(whole, i))).cast("bigint").alias("at"),
-                    F.when(F.length(F.get(group, i)) >= rule.least, F.concat(state["found"], F.array(F.struct(b.cast("bigint").alias("start"), (b + F.length(F.get(whole, i))).cast("bigint").alias("end"), F.lit(rule.kind).alias("kind"))))).otherwise(state["found"]).alias("found"),
-                ),
-            )
+            long_enough = F.length(F.get(group, i)) >= rule.least
+
+            def after(b: Column) -> Column:
+                end = (b + F.length(F.get(whole, i))).cast("bigint")
+                span = F.struct(b.cast("bigint").alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+                return F.struct(end.alias("at"), F.when(long_enough, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
+
+            return bind(begin, after)
 
         return F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), start, step, lambda s: s["found"])
 
@@ -141,10 +142,9 @@ def masked(text: Column, found: Column, mask: str = "[secret]") -> Column:
     """text with every stretch that findings cover replaced by mask; findings that overlap or touch give one mask."""
 
     def step(state: Column, s: Column) -> Column:
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(s["start"] > state["at"], F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mask))).when((state["at"] == 0) & (s["start"] == 0), F.lit(mask)).otherwise(state["out"]).alias("out"),
-        )
+        between = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
+        out = F.when(s["start"] > state["at"], F.concat(state["out"], between, F.lit(mask))).when((state["at"] == 0) & (s["start"] == 0), F.lit(mask))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     end = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))

@@ -227,6 +227,78 @@ def test_classifiers_on_odd_rows(spark):
     assert language.predicted(docs, language.fit(docs.where("false"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_a_text_is_learnt_under_its_own_label(spark):
+    rows = [(i, w * 12, lang, "clash") for i in range(40) for w, lang in ((f"das ist ein wort{i} und ", "de"), (f"this is the word{i} of ", "en"))] + [(None, "x", "xx", "c"), (99, "123", "yy", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, label string")
+    model = language.fit(docs, language.Settings(fit_rows=40))
+    assert sorted(sum(model.members.values(), [])) == ["de", "en"]
+    got = language.predicted(docs, model).collect()
+    assert len(got) == len(rows) and [r.lang_pred for r in got if r.doc_id is not None and r.doc_id < 40] == [r[2] for r in rows[:80]]
+
+
+def test_languages_by_plain_votes(spark):
+    """The prediction is that of the weights, one text and one machine at a time."""
+    words = {"en": "the and of that with", "de": "der und die das mit", "sv": "och att det som en", "fr": "le la et les des", "es": "el la y los de", "fi": "ja on ei se en", "zz": "qx zk wq xz kq"}
+    rnd = np.random.default_rng(0)
+    rows = [(i * 10 + j, " ".join(rnd.choice(w.split(), 30)), lang) for j, (lang, w) in enumerate(words.items()) for i in range(20)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [r[1] for r in rows] + ["the la und", "Ünïcödé", "?", None, ""]
+    langs, scores = model.predict(texts)
+    for text, lang, score in zip(texts, langs, scores):
+        if not text or not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        x = np.append(language.features(text), np.float32(1))
+        margins = [float(x @ w) for w in model.family_weights]
+        name = model.families[int(np.argmax(margins))]
+        members = model.members[name]
+        votes, chances = [0.0] * len(members), [0.0] * len(members)
+        for (a, b), w in zip(model.pairs[name], model.pair_weights[name]):
+            m = float(x @ w)
+            p = 1 / (1 + np.exp(-3 * m))
+            votes[a if m >= 0 else b] += 1
+            chances[a] += p
+            chances[b] += 1 - p
+        best = max(range(len(members)), key=lambda i: (votes[i] + chances[i] / (len(members) + 1)))
+        assert lang == members[best] and 0 <= score <= 1
+        within = chances[best] / (len(members) - 1) if len(members) > 1 else 1.0
+        assert abs(score - within / (1 + np.exp(-3 * max(margins)))) < 1e-4
+    assert [x for x in langs[: len(rows)]] == [r[2] for r in rows]
+
+
+def test_quality_by_plain_votes():
+    """The score is that of all cosines, sorted one text at a time; rows that are equal vote in their order."""
+    rnd = np.random.default_rng(1)
+    texts = [" ".join(rnd.choice("a bb ccc # ** the of and x1".split(), rnd.integers(1, 60))) for _ in range(60)]
+    texts = texts + texts[:20]
+    counts = np.stack([quality.terms(t) for t in texts])
+    x = quality._weighted(counts)
+    idf = 1 + np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0)))
+    basis = quality._right_vectors(x * idf, 8)
+    u, sizes, v = np.linalg.svd(x * idf, full_matrices=False)
+    assert np.allclose(np.abs(np.diag(basis.T @ v[:8].T)), 1, atol=1e-6)
+    labels = rnd.integers(0, 2, len(texts)).astype(float)
+    model = quality.Model(idf, basis, quality._unit((x * idf) @ basis), labels, quality.Settings(neighbours=7))
+    got = model.score(counts)
+    for row, score in zip(counts, got):
+        e = model.embed(row[None, :])[0]
+        cosines = [round(float(e @ w) * 1e9) / 1e9 for w in model.vectors]
+        near = sorted(range(len(cosines)), key=lambda i: (-cosines[i], i))[:7]
+        weights = [max(cosines[i], 0.0) ** 4 for i in near]
+        assert abs(score - sum(w * labels[i] for w, i in zip(weights, near)) / sum(weights)) < 1e-6
+    assert model.score(quality.terms("")[None, :])[0] == 0.5
+    # The score doesn't depend on what a text is scored with.
+    assert np.array_equal(np.concatenate([model.score(counts[i : i + 1]) for i in range(len(counts))]), got)
+
+
+def test_empty_tables_and_long_texts_of_the_classifiers(spark):
+    docs = spark.createDataFrame([(1, "good words here " * 100_000, "en", "c"), (2, "# $ % " * 10, "de", "c")], "doc_id long, text string, lang string, score string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, None)], "doc_id long, label int")
+    assert quality.scored(docs, quality.fit(docs, labels)).count() == 2
+    assert quality.scored(docs.where("false"), quality.fit(docs.where("false"), labels)).count() == 0
+    assert language.predicted(docs.where("false"), language.fit(docs)).count() == 0
+
+
 def test_language(spark, small):
     sf = small.replace("0.001", "0.01")
     got = op10_language_id(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()

@@ -1,6 +1,7 @@
 """Rules, secrets, BPE, HTML and fingerprints: against plain versions, with empty, null, repeated and odd input."""
 
 import collections
+import hashlib
 import random
 import re
 
@@ -127,6 +128,29 @@ def test_fingerprints():
         assert simhash.fingerprint(text) & (2**64 - 1) == want
 
 
+def test_encoding_odd_tables(spark):
+    long = "word " * 250_000 + "x" * 5000
+    rows = spark.createDataFrame([(1, long, "x"), (2, None, "y")], "doc_id long, text string, ids string")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r for r in bpe.digests(rows, byte_bpe()).collect()}
+    want = library.encode(long, add_special_tokens=False).ids
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert (got[1].n_tokens, got[1].ids_sha256, got[1].decoded_sha256) == (len(want), sha(",".join(map(str, want))), sha(long))
+    assert (got[2].n_tokens, got[2].ids_sha256, got[2].decoded_sha256) == (0, sha(""), sha(""))
+    assert bpe.encode(rows, byte_bpe()).columns == ["doc_id", "text", "ids"] and bpe.digests(rows.where("false"), byte_bpe()).count() == 0
+
+
+def test_words_are_forgotten_and_learnt_again(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
+    v, fresh = bpe.Vocabulary(byte_bpe()), bpe.Vocabulary(byte_bpe())
+    rnd = random.Random(5)
+    for _ in range(30):
+        texts = [" ".join("".join(rnd.choice("abcdeéß") for _ in range(rnd.choice((3, 9, 90)))) for _ in range(20)) + " common words stay"]
+        ids = [bpe.Vocabulary.encode_batch(fresh, texts)[0]]
+        assert v.encode_batch(texts) == ids
+        assert v.digest_batch(texts) == [(len(ids[0]), hashlib.sha256(",".join(map(str, ids[0])).encode()).hexdigest(), hashlib.sha256(texts[0].encode()).hexdigest())]
+
+
 PAGES = [
     ("<html><body><nav><a href=1>x</a></nav><div class='ad'>Buy</div><article><h1>T&amp;t</h1><p><b>One<br>two<p>three  four</p></article><footer>f</footer></body></html>", "T&t\n\nOne two\n\nthree four"),
     ("<div id='header'>Site</div><div class='wrap'><h1>Title</h1><div class='text'><p>A long enough paragraph with words in it.<p>Second <a href=x>link</a> too.</div></div><div class='sidebar'>s</div><div id='comments'><p>great post!</p></div>", "Title\n\nA long enough paragraph with words in it.\n\nSecond link too."),
