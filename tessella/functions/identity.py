@@ -38,6 +38,12 @@ def class_code(shape: Column, colour: Column) -> Column:
     return F.shiftleft(shape + 1, 3).bitwiseOR(bits)
 
 
+def fixed_identity(index: Column) -> Column:
+    """The identity (shape_type, color, shape_id) that an index has where none are drawn: types in order, colours in turn; null beyond the types."""
+    shape, colour = F.get(F.array(*map(F.lit, SHAPES)), index.cast("int")), F.get(F.array(*map(F.lit, COLOURS)), (index % len(COLOURS)).cast("int"))
+    return F.when(shape.isNotNull(), F.struct(shape.alias("shape_type"), colour.alias("color"), F.concat_ws("_", shape, colour).alias("shape_id")))
+
+
 def classes(spark: SparkSession) -> DataFrame:
     """The 36 classes: shape and colour (index and name), shape_id, code, and rank, the number of smaller codes."""
     rows = [(i, j, s, c, f"{s}_{c}") for i, s in enumerate(SHAPES) for j, c in enumerate(COLOURS)]

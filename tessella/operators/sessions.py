@@ -55,3 +55,24 @@ def block(item: Column, size: int = 7, practice: int = 2) -> dict[str, Column]:
     """The block of an item: its number, first and last item, and whether the item is practice."""
     number = F.floor(item / size).cast("bigint")
     return {"block": number, "first_item": number * size, "end_item": number * size + size, "practice": item % size < practice}
+
+
+def connections(log: DataFrame, key: str, order: list[str], kind: str = "kind", payload: str = "payload") -> DataFrame:
+    """(key, initialized, closed, payload, rehydrated, refused): what the events of a connection leave.
+
+    `initialize` keeps its payload and opens, `close` closes, `rehydrate` counts only while it is initialized and open and is refused otherwise; all other
+    kinds say only that it was seen. A connection's events are folded in one aggregate.
+    """
+    events = F.array_sort(F.collect_list(F.struct(*order, F.col(kind).alias("_kind"), F.col(payload).cast("string").alias("_payload"))))
+    zero, no = F.lit(0).cast("bigint"), F.lit(False)
+    start = F.struct(no.alias("initialized"), no.alias("closed"), F.lit(None).cast("string").alias("payload"), zero.alias("rehydrated"), zero.alias("refused"))
+
+    def step(s: Column, e: Column) -> Column:
+        opens, again = F.coalesce(e["_kind"] == "initialize", no), F.coalesce(e["_kind"] == "rehydrate", no)
+        fits = again & s["initialized"] & ~s["closed"]
+        return F.struct(
+            (s["initialized"] | opens).alias("initialized"), F.when(opens, no).when(e["_kind"] == "close", F.lit(True)).otherwise(s["closed"]).alias("closed"),
+            F.when(opens, e["_payload"]).otherwise(s["payload"]).alias("payload"), (s["rehydrated"] + fits.cast("bigint")).alias("rehydrated"), (s["refused"] + (again & ~fits).cast("bigint")).alias("refused"),
+        )
+
+    return log.groupBy(key).agg(F.aggregate(events, start, step).alias("_s")).select(key, "_s.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, sentences
-from ..operators import checks, graph, runs
+from ..operators import checks, graph, runs, sessions
 from ..sources import scenes
 from ..sources.config import Config
 from . import dataset, evaluation, pictures
@@ -628,3 +628,25 @@ def target_files(spark, sf_dir):
     files = dataset.artifacts(made, config, PER_EVENT).where("kind = 'target'")
     segments = F.conv(F.hex(F.reverse(F.substring(F.col("content"), 49, 4))), 16, 10).cast("bigint")
     return files.groupBy((F.conv("scene_id", 16, 10)).cast("bigint").alias("scene_index")).agg(F.count("*").alias("files"), F.sum(segments).alias("segments"))
+
+
+_KINDS = "CASE event_type WHEN 'click' THEN 'initialize' WHEN 'error' THEN 'close' WHEN 'view' THEN 'rehydrate' ELSE 'seen' END"
+
+
+@query(f"""WITH l AS (SELECT user_id, event_id, ts, {_KINDS} AS kind FROM events),
+s AS (SELECT *, last_value(CASE WHEN kind IN ('initialize', 'close') THEN kind END IGNORE NULLS) OVER w AS state, max((kind = 'initialize')::INT) OVER w AS begun FROM l
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT user_id, bool_or(kind = 'initialize') AS initialized, coalesce(arg_max(state, (ts, event_id)), '') = 'close' AS closed, arg_max(event_id, (ts, event_id)) FILTER (kind = 'initialize')::VARCHAR AS payload,
+  count(*) FILTER (kind = 'rehydrate' AND state = 'initialize') AS rehydrated, count(*) FILTER (kind = 'rehydrate' AND (state IS NULL OR state <> 'initialize')) AS refused FROM s GROUP BY user_id""")
+def connection_states(spark, sf_dir):
+    """Connections folded from the events: clicks initialise, errors close, views rehydrate."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    t = F.col("event_type")
+    kind = F.when(t == "click", "initialize").when(t == "error", "close").when(t == "view", "rehydrate").otherwise("seen")
+    return sessions.connections(e.select("user_id", "ts", "event_id", kind.alias("kind"), F.col("event_id").alias("payload")), "user_id", ["ts", "event_id"])
+
+
+@query("""SELECT range AS i, (['circle', 'star', 'triangle', 'square', 'pentagon', 'hexagon'])[range + 1] AS shape_type, CASE WHEN range < 6 THEN (['red', 'green', 'blue', 'yellow', 'magenta', 'cyan'])[range % 6 + 1] END AS color FROM range(9)""")
+def fixed_identities(spark, sf_dir):
+    who = identity.fixed_identity(F.col("id"))
+    return spark.range(9).select(F.col("id").alias("i"), who["shape_type"].alias("shape_type"), who["color"].alias("color"))
