@@ -14,12 +14,14 @@ piece's parent (equal ranks go leftmost first).
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
 import unicodedata
 from bisect import bisect_right
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 from operator import itemgetter
@@ -36,7 +38,7 @@ from .common import per_batch
 #: Fixed value: the word pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of a generation of the cache. When the younger one is full, it becomes the older, and words of that which were not met since are forgotten.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 150_000
 #: Words longer than this many characters are not remembered.
 CACHE_CHARS = 64
 _NEVER = np.iinfo(np.int64).max
@@ -122,11 +124,12 @@ class Vocabulary:
         self.words = Memory(self.learned)
         self.forms = Memory(lambda words: {w: self.form(ids) for w, ids in self.learned(words).items()})
         self.greedy = self._reachable()
-        #: The longest token by its first four bytes, where that has any; others have three bytes at most.
-        self.reach: dict[bytes, int] = {}
+        #: The lengths that tokens with the same first four bytes have, longest first, and the short lengths that any may have.
+        of: dict[bytes, set[int]] = {}
         for token in self.greedy:
             if len(token) > 3:
-                self.reach[token[:4]] = max(self.reach.get(token[:4], 4), len(token))
+                of.setdefault(token[:4], {3, 2, 1}).add(len(token))
+        self.lengths = {head: tuple(sorted(some, reverse=True)) for head, some in of.items()}
 
     def _reachable(self) -> dict[bytes, int]:
         """Tokens that their own bytes encode to; only those can be proposed."""
@@ -223,13 +226,14 @@ class Vocabulary:
         whole = self.greedy.get(word)
         if whole is not None:
             return [whole]
-        out, at, n, known, reach = [], 0, len(word), self.greedy, self.reach
+        out, at, n, known, lengths = [], 0, len(word), self.greedy, self.lengths
         while at < n:
-            end = min(n, at + reach.get(word[at : at + 4], 3))
-            while (i := known.get(word[at:end])) is None:
-                end -= 1
-            out.append(i)
-            at = end
+            # What reaches beyond the word is the rest of it, which is a shorter length's business.
+            for size in lengths.get(word[at : at + 4], (3, 2, 1)):
+                if (i := known.get(word[at : at + size])) is not None and at + size <= n:
+                    out.append(i)
+                    at += size
+                    break
         return out
 
     def learned(self, words: set[str]) -> dict[str, list[int]]:
@@ -297,13 +301,25 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@contextmanager
+def _uncollected():
+    """Without Python's search for cycles: there are none here, and it would look through all that is remembered again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 @lru_cache(maxsize=2)
 def _vocabulary(definition: bytes) -> Vocabulary:
     return Vocabulary(definition)
 
 
 #: Characters that are encoded together at most, so that memory stays bounded whatever the batch holds.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 4_000_000
 
 
 def _groups(texts: list[str | None]):
@@ -328,7 +344,8 @@ def encode(df: DataFrame, definition: bytes, text_col: str = "text", out_col: st
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = _vocabulary(definition)
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-        ids = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(pa.array(v.encode_batch(g), pa.list_(pa.int32())) for g in _groups(texts))])
+        with _uncollected():
+            ids = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(pa.array(v.encode_batch(g), pa.list_(pa.int32())) for g in _groups(texts))])
         new = {out_col: ids} | ({with_count: ids.value_lengths().cast(pa.int64())} if with_count else {})
         return pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
@@ -359,7 +376,8 @@ def digests(df: DataFrame, definition: bytes, id_col: str = "doc_id", text_col:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         v = _vocabulary(definition)
-        found = [x for group in _groups(batch.column(1).to_pylist()) for x in v.digest_batch(group)]
+        with _uncollected():
+            found = [x for group in _groups(batch.column(1).to_pylist()) for x in v.digest_batch(group)]
         counts, of_ids, of_text = zip(*found) if found else ((), (), ())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

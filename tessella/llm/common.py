@@ -78,12 +78,12 @@ def give_back() -> None:
 
 
 def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType, text_col: str | None = None) -> DataFrame:
-    """Apply work to each Arrow batch of df, or to parts of it of about two megabytes of text_col. A batch holds at most what spark.sql.execution.arrow allows."""
+    """Apply work to each Arrow batch of df, or to parts of it of about four megabytes of text_col. A batch holds at most what spark.sql.execution.arrow allows."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in [batch] if text_col is None else in_parts(batch, batch.schema.get_field_index(text_col), 4096, 1 << 21):
+            for part in [batch] if text_col is None else in_parts(batch, batch.schema.get_field_index(text_col), 8192, 1 << 22):
                 out = work(part)
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
             give_back()
