@@ -6,31 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _window(keys: list[str], order: list[str]):
+def _window(keys: list[str], order: list[str | Column]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def runs(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "run") -> DataFrame:
+def runs(df: DataFrame, keys: list[str], order: list[str | Column], value: str, out: str = "run") -> DataFrame:
     """df with the number (from 0) of each row's run: a new run begins where value differs from the row before."""
     w = _window(keys, order)
     changed = (~F.lag(value).over(w).eqNullSafe(F.col(value))).cast("int")
     return df.withColumn("_new", F.when(F.row_number().over(w) == 1, 0).otherwise(changed)).withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
 
 
-def run_means(df: DataFrame, keys: list[str], order: list[str], value: str, vector: str) -> DataFrame:
+def run_means(df: DataFrame, keys: list[str], order: list[str | Column], value: str, vector: str) -> DataFrame:
     """For each run of value the mean of each part of an array column, and how many rows the run has."""
     n = 4
     sums = [(F.sum(F.get(vector, i)) / F.count("*")).alias(f"m{i}") for i in range(n)]
     return runs(df, keys, order, value).groupBy(*keys, "run").agg(F.first(value).alias(value), F.count("*").alias("steps"), *sums)
 
 
-def transitions(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def transitions(df: DataFrame, keys: list[str], order: list[str | Column], value: str) -> DataFrame:
     """How often value changes from one row to the next, for each entity."""
     before = F.lag(value).over(_window(keys, order))
     return df.withColumn("_changed", F.coalesce((before != F.col(value)).cast("int"), F.lit(0))).groupBy(*keys).agg(F.sum("_changed").cast("bigint").alias("transitions"))
 
 
-def distinct_path(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "path") -> DataFrame:
+def distinct_path(df: DataFrame, keys: list[str], order: list[str | Column], value: str, out: str = "path") -> DataFrame:
     """The values of each entity in order, without immediate repeats."""
     numbered = runs(df, keys, order, value)
     firsts = numbered.groupBy(*keys, "run").agg(F.first(value).alias(value))
