@@ -108,10 +108,10 @@ def header(scene_id: Column, events: Column) -> Column:
     return F.concat(F.lit("Scene "), scene_id, F.lit(": "), events.cast("string"), F.lit(" motion events."))
 
 
-def read_event(line: Column) -> dict[str, Column]:
-    """The parts of an event sentence in either order: index, shape_id, start and end quadrant, peers. Nulls for lines of another form."""
-    late = r"^Event (\d+): (.+? shape) moved (.+?)( relative to the scene center)?\.(?: This happened at the same time as (.+)\.)?$"
-    early = r"^Event (\d+): At the same time as (.*Event \d+), (.+? shape) moved (.+?)( relative to the scene center)?\.$"
+def read_event(line: Column, index: str = r"\d+") -> dict[str, Column]:
+    """The parts of an event sentence in either order: index (of the given form), shape_id, start and end quadrant, peers. Nulls for lines of another form."""
+    late = rf"^Event ({index}): (.+? shape) moved (.+?)( relative to the scene center)?\.(?: This happened at the same time as (.+)\.)?$"
+    early = rf"^Event ({index}): At the same time as (.*Event \d+), (.+? shape) moved (.+?)( relative to the scene center)?\.$"
     is_early = line.rlike(early)
     part = lambda a, b: F.when(is_early, F.regexp_extract(line, early, a)).when(line.rlike(late), F.regexp_extract(line, late, b))
     moved = part(4, 3)
