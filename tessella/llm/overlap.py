@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import roots as components
-from .common import cut, give_back, in_parts, row_key, tidy
+from .common import cut, cut_off, give_back, in_parts, row_key, tidy
 from .simhash import kept, links, shingles, voted
 
 BANDS, ROWS = 25, 5
@@ -170,6 +170,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     left = cut(apart(members.where(F.col("size") <= SMALL_GROUP), None if near.isEmpty() else components(near)))
     last = verified(left.join(left.select("key", *second), "key").where(fits & (F.col("digest") < F.col("digest2")) & (F.col("root") != F.col("root2"))).select(*pair).distinct(), texts)
     found = cut(near.union(last))
+    for done in (members, texts, near, left, last):
+        cut_off(done)
     roots = components(found)
     # Fingerprints: each one's least set stands for it, and is linked with its other sets and with those of fingerprints within two bits.
     sets = cut(prints.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "n", "fp", F.coalesce("root", "digest").alias("root")))
@@ -178,8 +180,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     near_prints = links(heads.select("fp")).join(heads.withColumnRenamed("fp", "a"), "a").join(heads.select(F.col("fp").alias("b"), *other), "b")
     proposed = sets.join(heads.select("fp", *other), "fp").unionByName(near_prints, allowMissingColumns=True).where(fits & (F.col("root") != F.col("root2")))
     proposed = cut(proposed.select(*pair).distinct())
+    cut_off(sets)
+    cut_off(heads)
     if not proposed.isEmpty():
-        more = verified(proposed, texts_of(proposed.select(F.explode(F.array("a", "b")).alias("digest"))))
+        texts = texts_of(proposed.select(F.explode(F.array("a", "b")).alias("digest")))
+        more = verified(proposed, texts)
+        cut_off(texts)
         roots = components(found.union(more))
     named = prints.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import closeness
-from .cutting import cut, cut_off
+from .cutting import cut, cut_off, passing
 
 
 def padded(df: DataFrame, vector: str) -> DataFrame:
@@ -128,16 +128,17 @@ def roots(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = cut(pairs)
     before = None
     while True:
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = pairs.select(F.explode(ways).alias("way")).select("way.u", "way.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Every u of `large` is now larger than its v: the small star.
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(lowest, "u")
-        new = cut(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).distinct())
+        # The one row of each u that has v = m gives the link of u itself.
+        new = cut(large.join(lowest, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct())
         cut_off(pairs)
         pairs = new
-        after = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after = passing(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))).collect()
         if after == before:
             break
         before = after

@@ -88,6 +88,26 @@ def test_stage_joins_near_copies_of_five_word_shingles(spark, monkeypatch, group
     assert corpus_pipeline.near_duplicates(spark, docs.where("false"), "").count() == 0
 
 
+def test_stage_deletes_the_texts_it_has_compared(spark, monkeypatch):
+    made, cut = [], overlap.cut
+
+    def noted(df):
+        made.append(cut(df))
+        return made[-1]
+
+    def there(df):
+        file = spark._jvm.org.apache.hadoop.fs.Path(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+        return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+
+    monkeypatch.setattr(overlap, "cut", noted)
+    words = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join([*words[:99], f"x{i}"])) for i in range(60)] + [(60, " ".join([*words[:98], "y", "z"])), (61, "other")], "doc_id long, text string")
+    got = overlap.classes(docs)
+    texts = [df for df in made if df.columns == ["digest", "text"]]
+    assert texts and not any(map(there, texts))
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict.fromkeys(range(61), 0) | {61: 61}
+
+
 def test_mixing(spark, small):
     docs = table(spark, small, "documents")
     rows = mixing.copies(docs, MIX).collect()

@@ -1,5 +1,8 @@
 """Operators beside plain Python: nearest neighbours with ties, components, cutting of lineage, splits, dealing."""
 
+import re
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +57,26 @@ def test_files_of_a_cut_are_deleted(spark):
     cutting.cut_off(spark.range(3))
 
 
+def test_what_was_shuffled_for_a_cut_is_deleted(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return set(re.findall(r"(?i)shuffle\w*\([^)]*\)|shuffle_\w+", disk.getAllBlocks().mkString(" ")))
+
+    before = shuffled()
+    spark.range(100).groupBy((F.col("id") % 7).alias("k")).count().collect()
+    assert shuffled() - before, "shuffle files are found"
+    before, settings = shuffled(), dict(spark.conf.getAll)
+    made = cutting.cut(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    chain = graph.roots(spark.range(64).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert dict(spark.conf.getAll) == settings
+    assert made.count() == 7 and sorted(map(tuple, chain.collect())) == [(i, 0) for i in range(65)]
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Stub:
         master = "spark://host:7077"
